@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamiz.session import cut
+from tamiz.session import cut_in_turn
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -38,11 +38,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """
     named = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     nodes_alone = named.where("u = v").select("u").distinct()
-    e = cut(named.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e, path = cut_in_turn(named.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), None)
     before = _state(e)
     if before[0]:
         for _ in range(max_rounds):
-            e = cut(_small_star(_large_star(e)))
+            e, path = cut_in_turn(_small_star(_large_star(e)), path)
             now = _state(e)
             if now == before:
                 break

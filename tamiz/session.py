@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,10 +38,49 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named)
 
 
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tamiz-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    _TABLES.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Remove a table written by ``cut``."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _drop_all() -> None:
+    for spark, path in _TABLES:
+        try:
+            if not spark.sparkContext._jsc.sc().isStopped():
+                drop(spark, path)
+        except Exception:  # the session is gone; the folder goes with it
+            return
+
+
+_TABLES: list[tuple[SparkSession, str]] = []
+atexit.register(_drop_all)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage; survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared checkpoint folder and read it back.
+
+    Its lineage is cut, executors may be lost afterwards, and the optimiser knows the true size. Compressed columns take
+    less room there than a checkpoint's rows. The tables are removed when the program ends.
+    """
+    return _written(df)[0]
+
+
+def cut_in_turn(df: DataFrame, before: str | None) -> tuple[DataFrame, str]:
+    """Like ``cut``, and drop the table ``before`` of the previous round; gives the new table and its path."""
+    new, path = _written(df)
+    if before:
+        drop(df.sparkSession, before)
+    return new, path
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
