@@ -119,11 +119,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, top_up: bool = True) -> Da
     code = rows[:, 0] * top + rows[:, 1]
     before = Window.partitionBy("tokens").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__part", "tokens", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
-    starts = offsets.groupBy("__part").agg(F.map_from_entries(F.collect_list(F.struct("tokens", "__before"))).alias("__starts"))
     names = [c for c in held.columns if c != "__part"]
     inner = Window.partitionBy("__part", "tokens").orderBy("__row")
     local = held.withColumn("__row", F.monotonically_increasing_id()).withColumn("__rank", F.row_number().over(inner) - 1)
-    ranked = local.join(starts, "__part", "left").withColumn("__rank", F.col("__rank") + F.coalesce(F.element_at("__starts", F.col("tokens")), F.lit(0)))
+    # The offsets are keyed like the window above, so this join needs no further shuffle of the items.
+    ranked = local.join(offsets, ["__part", "tokens"], "left").withColumn("__rank", F.col("__rank") + F.coalesce("__before", F.lit(0)))
 
     @F.pandas_udf("bigint")
     def container(tokens: pd.Series, rank: pd.Series) -> pd.Series:
