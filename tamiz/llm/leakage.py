@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tamiz.llm.words import mix, odd_constants, word_ids
 
-WINDOW, STEPS, SAMPLED, WALKS = 12, 22, 6, 3
+WINDOW, STEPS, SAMPLED, WALKS = 12, 22, 6, 4
 #: Words of evaluation text that one pass may hold in a worker's memory (about 100 bytes each); more are taken in blocks.
 BLOCK_WORDS = 500_000
 _BITS = 22
