@@ -10,11 +10,13 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 _SKIP = {"script", "style", "nav", "header", "footer", "form", "noscript", "iframe", "svg"}
 _BLOCK = {"p", "div", "section", "article", "table", "tr", "ul", "ol", "blockquote", "br", "hr"}
 _VOID = {"br", "hr", "img", "input", "meta", "link"}
-PAGE = "struct<titulo:string,markdown:string,notas:array<string>,enlaces:array<string>,siguiente:string>"
+_STRINGS = ArrayType(StringType())
+PAGE = StructType([StructField("titulo", StringType()), StructField("markdown", StringType()), StructField("notas", _STRINGS), StructField("enlaces", _STRINGS), StructField("siguiente", StringType())])
 
 
 class _Reader(HTMLParser):

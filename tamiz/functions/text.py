@@ -55,7 +55,7 @@ def clean_lines(c: Column) -> Column:
     """Markdown marks, page comments and table rules removed line by line; never more than one blank line in a row."""
     lines = F.filter(F.split(c, "\n"), lambda x: ~x.rlike(r"^\s*\|?[\s:|-]+\|[\s:|-]*$"))
     joined = F.array_join(F.transform(lines, _line), "\n")
-    return F.trim(F.regexp_replace(joined, r"\n{3,}", "\n\n"))
+    return F.btrim(F.regexp_replace(joined, r"\n{3,}", "\n\n"), F.lit(" \n"))
 
 
 def strip_struck(c: Column) -> Column:

@@ -11,6 +11,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 ITEM = "id bigint, formato string, pregunta string, opciones map<string,string>, area string, tema string, sub_tarea string, complejidad string, legal_basis string, respuesta_correcta string, respuesta_esperada string"
 FRONT = "doc_id string, titulo string, url string, fuente string, tipo_norma string, numero string, anio int, areas array<string>, origen string, estado string"
@@ -101,7 +102,7 @@ def sniff(content: Column) -> Column:
     return F.when(head.startswith("25504446"), "pdf").when(head.startswith("504B0304"), "docx").when(head.startswith("D0CF11E0"), "doc").otherwise("html")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decoded(content: pd.Series, content_type: pd.Series) -> pd.Series:
     """Text of bytes by the announced encoding, that of a ``meta`` tag, UTF-8 where it fits, else Windows-1252."""
 
@@ -136,7 +137,7 @@ def docx_text(data: bytes) -> str:
     return "\n\n".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def docx_markdown(content: pd.Series) -> pd.Series:
     """Text of DOCX bytes; null for null and for bytes that are none."""
 
