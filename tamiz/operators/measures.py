@@ -86,3 +86,19 @@ def missing_numbers(rows: DataFrame, group: str, number: str) -> DataFrame:
     """Per group the numbers from 1 to its highest that it lacks, and how many rows repeat a number."""
     g = rows.where(F.col(number).isNotNull() & (F.col(number) > 0)).groupBy(group).agg(F.collect_set(number).alias("seen"), F.max(number).alias("top"), (F.count(F.lit(1)) - F.countDistinct(number)).alias("repeats"))
     return g.select(group, "top", "repeats", F.array_sort(F.array_except(F.sequence(F.lit(1), "top"), "seen")).alias("missing"))
+
+
+def compare_rankings(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Per query of either ranking: rows of both, rows of one alone, and whether sets and order are the same."""
+    x, y = (r.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "row_id"))), lambda s: s["row_id"]).alias(n)) for r, n in ((a, "x"), (b, "y")))
+    empty = F.array().cast("array<bigint>")
+    j = x.join(y, "qid", "full").select("qid", F.coalesce("x", empty).alias("x"), F.coalesce("y", empty).alias("y"))
+    return j.select("qid", F.size(F.array_intersect("x", "y")).alias("both"), F.size(F.array_except("x", "y")).alias("only_a"), F.size(F.array_except("y", "x")).alias("only_b"), (F.sort_array("x") == F.sort_array("y")).alias("same_set"), (F.col("x") == F.col("y")).alias("same_order"))
+
+
+def emptiness(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``(column, n_empty)``: rows whose value is null or an empty text, array or map."""
+    kinds = dict(rows.dtypes)
+    empty = lambda c: F.col(c).isNull() | ((F.size(c) == 0) if kinds[c].startswith(("array", "map")) else (F.col(c).cast("string") == ""))
+    counted = rows.agg(*[F.count_if(empty(c)).alias(c) for c in columns])
+    return counted.unpivot([], columns, "column", "n_empty")
