@@ -21,6 +21,8 @@ from tamiz.llm.words import mix, odd_constants, word_ids
 WINDOW, STEPS, SAMPLED, WALKS = 12, 22, 6, 4
 #: Words of evaluation text that one pass may hold in a worker's memory (about 100 bytes each); more are taken in blocks.
 BLOCK_WORDS = 500_000
+#: Words of documents that walk at once.
+GROUP_WORDS = 1_000_000
 _BITS = 22
 
 
@@ -105,27 +107,38 @@ def _scan(index: Index, edits: int) -> callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out: dict[tuple[int, int], int] = {}
-            words = [word_ids(t) for t in batch["text"]]
-            if words and len(index.starts):
-                ids = np.concatenate(words)
-                base = np.cumsum([0] + [len(w) for w in words])
-                starts = np.concatenate([np.arange(b, max(b, b + len(w) - WINDOW + 1)) for b, w in zip(base, words)])
-                docs = batch["doc_id"].to_numpy()
-                for at, to in index.candidates(ids, starts):
-                    p, q = starts[at], index.starts[to]
-                    same = np.ones(len(p), bool)
-                    for k in range(WINDOW):
-                        same &= ids[p + k] == index.ids[q + k]
-                    doc, item = docs[np.searchsorted(base, p, "right") - 1], index.owner[to]
-                    for d, i in set(zip(doc[same].tolist(), item[same].tolist())):
-                        out[d, i] = 0
-                    if edits:
-                        for k in np.flatnonzero(~same & (aligned(ids, p, index.ids, q, edits) >= WINDOW - edits)):
-                            pair = (int(doc[k]), int(item[k]))
-                            if out.get(pair, edits + 1) > 1 and (e := edit_distance(ids[p[k] : p[k] + WINDOW], index.ids[q[k] : q[k] + WINDOW])) <= edits:
-                                out[pair] = min(e, out.get(pair, e))
+            group, held = [], 0
+            for doc, text in zip(batch["doc_id"].tolist(), batch["text"]):
+                group.append((doc, word_ids(text)))
+                held += len(group[-1][1])
+                if held > GROUP_WORDS:
+                    scan(group, out)
+                    group, held = [], 0
+            scan(group, out)
             yield pd.DataFrame([(d, i, e) for (d, i), e in out.items()], columns=["doc_id", "item_id", "edits"])
 
+    def scan(group: list[tuple[int, np.ndarray]], out: dict[tuple[int, int], int]) -> None:
+        words = [w for _, w in group]
+        if not words or not len(index.starts):
+            return
+        ids = np.concatenate(words)
+        base = np.cumsum([0] + [len(w) for w in words])
+        starts = np.concatenate([np.arange(b, max(b, b + len(w) - WINDOW + 1)) for b, w in zip(base, words)])
+        docs = np.array([d for d, _ in group])
+        for at, to in index.candidates(ids, starts):
+            p, q = starts[at], index.starts[to]
+            same = np.ones(len(p), bool)
+            for k in range(WINDOW):
+                same &= ids[p + k] == index.ids[q + k]
+            doc, item = docs[np.searchsorted(base, p, "right") - 1], index.owner[to]
+            for d, i in set(zip(doc[same].tolist(), item[same].tolist())):
+                out[d, i] = 0
+            if edits:
+                for k in np.flatnonzero(~same & (aligned(ids, p, index.ids, q, edits) >= WINDOW - edits)):
+                    pair = (int(doc[k]), int(item[k]))
+                    if out.get(pair, edits + 1) > 1 and (e := edit_distance(ids[p[k] : p[k] + WINDOW], index.ids[q[k] : q[k] + WINDOW])) <= edits:
+                        out[pair] = min(e, out.get(pair, e))
+
     return run
 
 
