@@ -37,21 +37,21 @@ def isolated(items: DataFrame, work: Callable[[dict], dict], schema: str, key: s
     return items.mapInPandas(run, schema + ", error string")
 
 
-def _timed(events: DataFrame) -> DataFrame:
-    """Watermarks need time with a zone; tables may hold it without one."""
-    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+def _marked(events: DataFrame, late: str | None) -> DataFrame:
+    """Events with a watermark, for which time needs a zone; none where an operator before has set it (``late`` null)."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if late else events
 
 
-def event_windows(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+def event_windows(events: DataFrame, size: str = "1 hour", late: str | None = "10 minutes") -> DataFrame:
     """Counts and sums by tumbling window and type; events later than the watermark are left out of a running stream."""
-    return _timed(events).withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
+    return _marked(events, late).groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
-def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = "10 minutes") -> DataFrame:
     """Sessions of each user: begin, end, events."""
-    return _timed(events).withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+    return _marked(events, late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def once(events: DataFrame, key: str = "event_id", late: str = "1 hour") -> DataFrame:
+def once(events: DataFrame, key: str = "event_id", late: str | None = "1 hour") -> DataFrame:
     """First delivery of every event within the watermark."""
-    return _timed(events).withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+    return _marked(events, late).dropDuplicatesWithinWatermark([key])

@@ -104,6 +104,6 @@ def test_isolated_failures(spark):
 
 def test_streams(spark, data, tmp_path):
     s = spark.readStream.schema(spark.read.parquet(f"{data}/events.parquet").schema).parquet(f"{data}/events.parqu*")
-    q = incremental.event_windows(incremental.once(s)).writeStream.format("memory").queryName("w").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q = incremental.event_windows(incremental.once(s), late=None).writeStream.format("memory").queryName("w").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("w").count() > 0
