@@ -44,16 +44,22 @@ def basis_articles(s: SparkSession, d: str) -> DataFrame:
     return _items(s, d).select("id", F.explode(C.articles(F.col("legal_basis"))).alias("article"))
 
 
+def _cited_hits(s: SparkSession, d: str) -> DataFrame:
+    """Ranked documents with the norms they cite; only these few are searched for citations."""
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("row_id"), "text")
+    return bm25_topk(s, d).join(docs, "row_id").withColumn("b", C.bodies(F.col("text"))).drop("text")
+
+
 def support_antijoin(s: SparkSession, d: str) -> DataFrame:
     """Norms that an answer names and no retrieved document of its question does."""
-    hits = bm25_topk(s, d).join(table(s, d, "documents").select(F.col("doc_id").alias("row_id"), C.bodies(F.col("text")).alias("b")), "row_id")
+    hits = _cited_hits(s, d)
     evidence = hits.select(F.col("qid").alias("id"), F.explode("b").alias("norm")).distinct()
     cited = _items(s, d).where("id % 100 = 0").select("id", F.explode(C.bodies(F.concat_ws(" ", "respuesta_esperada", "legal_basis"))).alias("norm"))
     return cited.join(evidence, ["id", "norm"], "left_anti")
 
 
 def citation_coverage(s: SparkSession, d: str) -> DataFrame:
-    hits = bm25_topk(s, d).join(table(s, d, "documents").select(F.col("doc_id").alias("row_id"), C.bodies(F.col("text")).alias("b")), "row_id")
+    hits = _cited_hits(s, d)
     found = hits.groupBy("qid").agg(F.array_distinct(F.flatten(F.collect_list("b"))).alias("found"))
     wanted = _items(s, d).where("id % 100 = 0").select(F.col("id").alias("qid"), C.bodies(F.col("legal_basis")).alias("wanted"))
     return wanted.join(found, "qid", "left").select("qid", F.size("wanted").alias("n_wanted"), C.coverage(F.col("wanted"), F.coalesce("found", F.array().cast("array<string>"))).alias("coverage"))
@@ -69,7 +75,7 @@ def direct_articles(s: SparkSession, d: str) -> DataFrame:
 
 def ngram_leakage(s: SparkSession, d: str) -> DataFrame:
     """Questions and documents that share runs of twelve words: how many distinct ones."""
-    grams = lambda df, c, key: df.select(key, T.tokens(F.col(c)).alias("t")).select(key, F.explode(F.array_distinct(T.ngrams(F.col("t"), 12))).alias("g"))
+    grams = lambda df, c, key: df.select(key, T.tokens(F.col(c)).alias("t")).select(key, F.explode_outer(F.array_distinct(T.ngrams(F.col("t"), 12))).alias("g")).where("g is not null")
     q = grams(_items(s, d).select("id", "pregunta"), "pregunta", "id")
     docs = grams(table(s, d, "documents").select("doc_id", "text"), "text", "doc_id").join(q.select("g").distinct(), "g", "left_semi")
     return docs.join(q, "g").groupBy("id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))

@@ -9,6 +9,7 @@ from tamiz.functions import citations as C
 from tamiz.functions import text as T
 from tamiz.operators import segments, selection
 from tamiz.operators.paragraphs import blocks
+from tamiz.plans.citing import _cited_hits
 from tamiz.plans.retrieval import bm25_topk
 from tamiz.session import table
 
@@ -61,7 +62,7 @@ def constrained_choice(s: SparkSession, d: str) -> DataFrame:
 
 def supported_first(s: SparkSession, d: str) -> DataFrame:
     q = table(s, d, "preguntas").where("id % 100 = 0").select(F.col("id").alias("qid"), C.bodies(F.col("legal_basis")).alias("cited"))
-    hits = bm25_topk(s, d).join(table(s, d, "documents").select(F.col("doc_id").alias("row_id"), C.bodies(F.col("text")).alias("b")), "row_id").join(q, "qid")
+    hits = _cited_hits(s, d).join(q, "qid")
     return selection.reorder_by_support(hits.select("qid", "row_id", "rank", F.lit(False).alias("inserted"), F.array_intersect("b", "cited").alias("supports")))
 
 
