@@ -22,7 +22,7 @@ COVERAGE = 0.6
 #: Exemplars that may cover a window together.
 TOGETHER = 3
 
-# fixed values: labelled exemplars of residue by class; <0> figure, <ruta> path, <codigo> code, <campo> unfilled field
+# fixed values: labelled exemplars of residue by class; <0> figure, <ruta> path, <codigo> code or (beside other words) letters with figures, <campo> unfilled field
 EXEMPLARS: dict[str, list[str]] = {
     "plantilla": ["<campo>"],
     "relleno": [
@@ -73,8 +73,15 @@ _FIELD = re.compile(
 _FIELD_BEGIN = re.compile(r"[{$#<%@&\[_]")
 _FIELD_WORD = re.compile(r"(?<![\w.])undefined(?! is not)(?!\w)|(?<!\w)NaN(?!\w)|(?<!\w)X{4,}(?!\w)")
 _WORD = re.compile(r"<campo>|(?:[\w.$-]*[\w$]\()[\w./$:-]*\)?:?|[a-z]:?(?:/[\w.~-]+)+|(?:/[\w.~-]+){1,}|\w+(?:[.:]\w+){2,}|#?\d*\.?\w*\d\w*(?:\.\w+)*|[^\W\d_]+(?:['’-][^\W\d_]+)*")
-_QUICK = re.compile(r"[^\W\d_]{4,}")
+# Wherever a word becomes <codigo>, <clave> or <ruta>, these match; they match more.
+_CODE_LIKE = re.compile(r"\((?<=[\w$].)|[.:](?<=\w.)\w+[.:]\w")
+_KEY_LIKE = re.compile(r"\((?<=[\w$].)|[.:](?<=\w.)|#\d|\d[^\W\d]|[^\W\d]\d|[²³¹]")
+_PATH_LIKE = re.compile(r"/[\w.~-]")
+# Codes that only machines write: calls, and dotted names that are no host and no initials.
+_CODE = re.compile(r"[\w.$-]*[._$][\w.$-]*\(.*|[\w$-]{3,}\((?:\).*|[\w-]*[./$:].*)|(?!www\.)(?=(?:\w+[.:])*[^\W\d_]{3,}[.:](?:\w+[.:])*[^\W\d_]{3,})\w+(?:[.:]\w+){2,}(?<!\.\w\w)(?<!\.com|\.org|\.net|\.gov|\.edu)")
+_LATIN_LIKE = re.compile(rf"(?<![^\W\d_])(?:{'|'.join(_LATIN)})")
 _LETTERS = re.compile(r"[^\W\d_]+")
+_DIGIT = re.compile(r"[\d²³¹]")
 _SENTENCE = re.compile(r"(?<=[.!?…])[»”\")]*\s+")
 _BLANK = re.compile(r"\n[^\S\n]*\n")
 
@@ -102,9 +109,9 @@ def _norm(word: str) -> str:
     if word.isdigit():
         return "<0>"
     if "(" in word or (("." in word or ":" in word) and len(word) > 3 and not word[0].isdigit()):
-        return "<codigo>"
+        return "<codigo>" if _CODE.fullmatch(word) else "<clave>"
     if any(c.isdigit() for c in word):
-        return "<codigo>" if any(c.isalpha() for c in word) and len(word) > 3 else "<0>"
+        return "<clave>" if any(c.isalpha() for c in word) and len(word) > 3 else "<0>"
     if len(word) >= 4 and any(word.startswith(s) for s in _LATIN) and word not in _SPANISH:
         return "<latín>"
     return word
@@ -124,6 +131,20 @@ def _exemplar_words(text: str) -> list[str]:
 
 INDEXED = [(kind, frozenset(_exemplar_words(t))) for kind, texts in EXEMPLARS.items() for t in texts]
 VOCABULARY = frozenset().union(*(w for _, w in INDEXED))
+#: The exemplar of a code alone; figures among letters are no such code, as misread words and numbers of articles have them.
+_BARE_CODE = {k for k, (_, ws) in enumerate(INDEXED) if ws == {"<codigo>"}}
+
+
+def _needed(exemplar: frozenset[str], idf: dict[str, float]) -> set[str]:
+    """Words of an exemplar of which a window must hold one to hold half of its mass: the lighter others together have less."""
+    light, half = 0.0, 0.5 * sum(idf[w] for w in exemplar)
+    out = set(exemplar)
+    for w in sorted(exemplar, key=lambda w: (idf[w], w)):
+        light += idf[w]
+        if light >= half - 1e-9:
+            break
+        out.discard(w)
+    return out
 
 
 class Model:
@@ -139,8 +160,12 @@ class Model:
         self.idf["<campo>"] = self.idf["<latín>"] = 8.0
         usual = sorted(self.idf[w] for w in VOCABULARY)
         self.other = usual[len(usual) // 2]
-        self.telling = {w for w in VOCABULARY if w[0] != "<" and len(w) >= 4 and frequency.get(w, 0) <= 0.05 * n}
         self.mass = [sum(self.idf[w] for w in ws) for _, ws in INDEXED]
+        needed = frozenset().union(*(_needed(ws, self.idf) for _, ws in INDEXED))
+        if any("<codigo>" in _needed(ws, self.idf) for _, ws in INDEXED if len(ws) > 1):
+            needed |= {"<clave>"}
+        self.telling = {w for w in needed if w[0] == "<" or frequency.get(w, 0) <= 0.05 * n}
+        self.quick = frozenset(max(_LETTERS.findall(w), key=len) for w in self.telling if w[0] != "<")
         self.index: dict[str, list[int]] = defaultdict(list)
         for k, (_, ws) in enumerate(INDEXED):
             for w in ws:
@@ -149,6 +174,11 @@ class Model:
     def coverage(self, window: list[str]) -> float:
         """Share of a window's mass in at most three exemplars of one class that its telling words retrieve."""
         tf = Counter(window)
+        passed = frozenset() if "<codigo>" in tf else _BARE_CODE
+        if self.telling.isdisjoint(tf) and "<campo>" not in tf and tf["<latín>"] < 3:
+            return 0.0
+        if "<clave>" in tf:
+            tf["<codigo>"] += tf.pop("<clave>")
         mass = sum(self.idf.get(w, self.other) * (1 + math.log(k)) for w, k in tf.items())
         if "<campo>" in tf:
             return 1.0
@@ -158,13 +188,11 @@ class Model:
             return tf["<latín>"] / len(window)
         weight = {w: self.idf[w] * (1 + math.log(k)) for w, k in tf.items() if w in self.idf}
         found: dict[int, float] = defaultdict(float)
-        if not any(w in self.telling or w == "<codigo>" or w == "<ruta>" for w in weight):
-            return 0.0
         for w, x in weight.items():
             for k in self.index[w]:
                 found[k] += x
         # An exemplar counts where the window holds half of its own mass, too.
-        found = {k: x for k, x in found.items() if sum(self.idf[w] for w in INDEXED[k][1] if w in weight) >= 0.5 * self.mass[k]}
+        found = {k: x for k, x in found.items() if k not in passed and sum(self.idf[w] for w in INDEXED[k][1] if w in weight) >= 0.5 * self.mass[k]}
         best = 0.0
         for kind in {INDEXED[k][0] for k in found}:
             left, got = dict(weight), 0.0
@@ -191,7 +219,11 @@ def windows(paragraph: str) -> Iterator[str]:
 
 
 def _telling(text: str, model: Model) -> bool:
-    return not model.telling.isdisjoint(_QUICK.findall(text))
+    """Whether a text in lower case can hold a word that retrieves an exemplar; no text that can is passed over."""
+    if not model.quick.isdisjoint(_LETTERS.findall(text)) or _latin(text):
+        return True
+    likes = (("<codigo>", _CODE_LIKE), ("<clave>", _KEY_LIKE), ("<ruta>", _PATH_LIKE), ("<0>", _DIGIT))
+    return any(k in model.telling and like.search(text) for k, like in likes)
 
 
 def residue(text: str | None, model: Model, coverage: float = COVERAGE) -> list[tuple[int, str, float]]:
@@ -200,7 +232,7 @@ def residue(text: str | None, model: Model, coverage: float = COVERAGE) -> list[
         return []
     marked = mark_fields(text)
     low = marked.lower()
-    if "<campo>" not in marked and not _telling(low, model) and not _latin(low):
+    if "<campo>" not in marked and not _telling(low, model):
         return []
     out = []
     k = 0
@@ -213,7 +245,7 @@ def residue(text: str | None, model: Model, coverage: float = COVERAGE) -> list[
             out.append((k, p, 1.0))
             continue
         q = p.lower()
-        if not _telling(q, model) and not _latin(q):
+        if not _telling(q, model):
             continue
         best = 0.0
         for w in windows(q):
@@ -228,7 +260,7 @@ def residue(text: str | None, model: Model, coverage: float = COVERAGE) -> list[
 
 
 def _latin(low: str) -> bool:
-    return any(f" {s}" in low for s in ("vestibul", "consect", "pellentes", "viverr", "quisque", "feugiat", "sagitt", "tincid", "rutrum", "ipsum", "lorem", "aliqu")) or low.startswith(("lorem", "ipsum", "vestibul", "pellentes"))
+    return any(s in low for s in _LATIN) and _LATIN_LIKE.search(low) is not None
 
 
 def train(rows: DataFrame) -> Model:

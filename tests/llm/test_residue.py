@@ -35,3 +35,24 @@ def test_table(spark):
     df = spark.createDataFrame(rows, "texto_id bigint, markdown string").selectExpr("*", "1 as w", "2 as texto")
     assert sorted((r.texto_id, r.parrafo) for r in R.found(df).collect()) == [(50, 2), (50, 2), (53, 2)]
     assert R.found(df.where("false")).count() == 0
+
+
+FILLED = {"<0>": "12", "<ruta>": "/srv/x/ley.html", "<codigo>": "mysql_connect():", "<campo>": "{{organo}}"}
+
+
+@pytest.mark.parametrize("exemplar", [x for texts in R.EXEMPLARS.values() for x in texts])
+def test_every_exemplar_alone(model, exemplar):
+    text = exemplar
+    for k, x in FILLED.items():
+        text = text.replace(k, x)
+    assert R.residue(text, model) and R.residue("El juez decidirá.\n\n" + text.capitalize(), model)
+
+
+@pytest.mark.parametrize("text", ["java.lang.NullPointerException", "mysql_connect():", "include(/srv/norma.inc)", "Nunc lacus magnis sodales congue fusce"])
+def test_codes_and_mock_latin_alone(model, text):
+    assert R.residue(text, model)
+
+
+@pytest.mark.parametrize("text", ["ARTÍCULO 12Bis", "Artícul0 7", "Se protocoli2ará.", "Aguas S.A.S.", "www.gaceta.gov.co", "portal.gaceta.gov.co", "Señor(a)", "12/03/2010"])
+def test_figures_and_points_of_real_words(model, text):
+    assert not R.residue(text, model)
