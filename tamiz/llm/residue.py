@@ -11,9 +11,11 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ EXEMPLARS: dict[str, list[str]] = {
     "plantilla": ["<campo>"],
     "relleno": [
         "lorem ipsum dolor sit amet consectetur adipiscing elit", "test test test test", "xxx xxx xxx", "abc abc abc", "asdf asdf asdf", "qwerty qwerty qwerty", "foo bar baz",
-        "bla bla bla", "blablá y más texto", "etcétera bla y más texto etcétera", "prueba prueba prueba", "texto texto texto", "párrafo de muestra número <0>",
+        "bla bla bla", "blablá blablá blablá", "blablá y más texto", "etcétera bla y más texto etcétera", "prueba prueba prueba", "texto texto texto", "párrafo de muestra número <0>",
         "este contenido se sustituirá cuando la oficina editora entregue la versión final", "aquí va el texto", "aquí va el contenido", "texto de relleno para antes de publicar", "sample text for", "placeholder para",
         "placeholder text", "contenido de prueba reemplazar antes de publicar", "texto de ejemplo", "texto de prueba", "pendiente de digitar", "todo cargar", "todo cargar los considerandos antes de publicar", "todo cargar el artículo", "fixme completar", "por completar antes de publicar", "contenido pendiente", "insertar aquí el texto", "escriba en este espacio", "escriba aquí el texto", "escriba en este espacio el encabezado de la norma", "this is a sample paragraph",
         "your text here", "coming soon", "próximamente", "título de ejemplo", "borrar este texto antes de publicar", "reemplace este texto", "dummy text",
@@ -121,8 +123,14 @@ def _norm(word: str) -> str:
 _SPANISH = frozenset("dolor dolores dolorosa elite temporal temporales temporada temporalmente temporalidad aliquota alícuota nulla fuscamente magnisterio".split())
 
 
+@lru_cache(1 << 16)
+def _token(token: str) -> tuple[str, ...]:
+    return tuple(map(_norm, (token,) if token.isalpha() else _WORD.findall(token)))
+
+
 def words(window: str) -> list[str]:
-    return [_norm(w) for w in _WORD.findall(window.lower())]
+    """Words of a window; none crosses whitespace, so that tokens are read once."""
+    return [w for t in window.lower().split() for w in _token(t)]
 
 
 def _exemplar_words(text: str) -> list[str]:
@@ -147,12 +155,27 @@ def _needed(exemplar: frozenset[str], idf: dict[str, float]) -> set[str]:
     return out
 
 
+# fixed values: of PRIOR_PARAGRAPHS usual paragraphs of the domain, how many hold the word; they stand in where a table is small
+PRIOR_PARAGRAPHS = 1000
+_PRIOR = {
+    "de": 984, "la": 948, "el": 925, "en": 780, "del": 660, "los": 631, "a": 561, "por": 552, "y": 521, "que": 474, "con": 457, "las": 407, "al": 337, "sin": 310, "artículo": 291, "solicitud": 232, "lo": 222, "se": 212, "no": 206,
+    "una": 179, "archivo": 143, "prueba": 129, "este": 129, "título": 123, "favor": 120, "cuando": 117, "para": 112, "si": 96, "providencia": 80, "más": 75, "parte": 72, "recurso": 72, "oficina": 71, "consulta": 66, "está": 65,
+    "petición": 63, "o": 59, "vigencia": 57, "todo": 51, "norma": 50, "base": 48, "técnico": 36,
+}
+#: Exemplars of usual words alone, such as real text has, too: a window must hold them whole, and a single word twice.
+_USUAL = {k for k, (_, ws) in enumerate(INDEXED) if all(w in _PRIOR for w in ws)}
+
+
 class Model:
-    """Inverse document frequencies of the exemplars' words, counted over all rows, and the inverted index."""
+    """Inverse frequencies of the exemplars' words among distinct paragraphs, and the inverted index.
 
-    def __init__(self, rows: int, frequency: dict[str, int]):
-        n = max(rows, 1)
-        self.idf = {w: math.log((n + 1) / (frequency.get(w, 0) + 1)) + 0.05 for w in VOCABULARY}
+    No word is left out of retrieval for being frequent; the usual paragraphs are added, so that a small table weighs
+    words as a large one does.
+    """
+
+    def __init__(self, paragraphs: int, frequency: dict[str, int]):
+        n = max(paragraphs, 0) + PRIOR_PARAGRAPHS
+        self.idf = {w: math.log((n + 1) / (frequency.get(w, 0) + _PRIOR.get(w, 0) + 1)) + 0.05 for w in VOCABULARY}
         for w in ("<0>",):
             self.idf[w] = 0.05
         for w in ("<ruta>", "<codigo>"):
@@ -161,21 +184,28 @@ class Model:
         usual = sorted(self.idf[w] for w in VOCABULARY)
         self.other = usual[len(usual) // 2]
         self.mass = [sum(self.idf[w] for w in ws) for _, ws in INDEXED]
-        needed = frozenset().union(*(_needed(ws, self.idf) for _, ws in INDEXED))
-        if any("<codigo>" in _needed(ws, self.idf) for _, ws in INDEXED if len(ws) > 1):
-            needed |= {"<clave>"}
-        self.telling = {w for w in needed if w[0] == "<" or frequency.get(w, 0) <= 0.05 * n}
-        self.quick = frozenset(max(_LETTERS.findall(w), key=len) for w in self.telling if w[0] != "<")
+        needed = [{max(ws, key=lambda w: (self.idf[w], w))} if k in _USUAL else _needed(ws, self.idf) for k, (_, ws) in enumerate(INDEXED)]
         self.index: dict[str, list[int]] = defaultdict(list)
-        for k, (_, ws) in enumerate(INDEXED):
+        for k, ws in enumerate(needed):
             for w in ws:
                 self.index[w].append(k)
+        self.twice = {w for w, ks in self.index.items() if all(k in _USUAL and len(INDEXED[k][1]) == 1 for k in ks)}
+        self.telling = self.index.keys() - self.twice
+        if any("<codigo>" in needed[k] for k in range(len(INDEXED)) if k not in _BARE_CODE):
+            self.telling.add("<clave>")
+        self.quick = frozenset(max(_LETTERS.findall(w), key=len) for w in self.telling if w[0] != "<")
+
+    def held(self, k: int, tf: Counter) -> bool:
+        ws = INDEXED[k][1]
+        if k in _USUAL:
+            return all(tf[w] >= 1 + (len(ws) == 1) for w in ws)
+        return sum(self.idf[w] for w in ws if w in tf) >= 0.5 * self.mass[k]
 
     def coverage(self, window: list[str]) -> float:
         """Share of a window's mass in at most three exemplars of one class that its telling words retrieve."""
         tf = Counter(window)
         passed = frozenset() if "<codigo>" in tf else _BARE_CODE
-        if self.telling.isdisjoint(tf) and "<campo>" not in tf and tf["<latín>"] < 3:
+        if self.telling.isdisjoint(tf) and all(tf[w] < 2 for w in self.twice) and "<campo>" not in tf and tf["<latín>"] < 3:
             return 0.0
         if "<clave>" in tf:
             tf["<codigo>"] += tf.pop("<clave>")
@@ -187,12 +217,8 @@ class Model:
         if tf["<latín>"] >= 3:
             return tf["<latín>"] / len(window)
         weight = {w: self.idf[w] * (1 + math.log(k)) for w, k in tf.items() if w in self.idf}
-        found: dict[int, float] = defaultdict(float)
-        for w, x in weight.items():
-            for k in self.index[w]:
-                found[k] += x
         # An exemplar counts where the window holds half of its own mass, too.
-        found = {k: x for k, x in found.items() if k not in passed and sum(self.idf[w] for w in INDEXED[k][1] if w in weight) >= 0.5 * self.mass[k]}
+        found = {k for w in weight if w in self.index for k in self.index[w] if k not in passed and self.held(k, tf)}
         best = 0.0
         for kind in {INDEXED[k][0] for k in found}:
             left, got = dict(weight), 0.0
@@ -219,8 +245,8 @@ def windows(paragraph: str) -> Iterator[str]:
 
 
 def _telling(text: str, model: Model) -> bool:
-    """Whether a text in lower case can hold a word that retrieves an exemplar; no text that can is passed over."""
-    if not model.quick.isdisjoint(_LETTERS.findall(text)) or _latin(text):
+    """Whether a text in lower case can hold a word, no mock Latin, that retrieves an exemplar; no text that can is passed over."""
+    if not model.quick.isdisjoint(_LETTERS.findall(text)) or any(text.count(w) > 1 for w in model.twice):
         return True
     likes = (("<codigo>", _CODE_LIKE), ("<clave>", _KEY_LIKE), ("<ruta>", _PATH_LIKE), ("<0>", _DIGIT))
     return any(k in model.telling and like.search(text) for k, like in likes)
@@ -232,7 +258,8 @@ def residue(text: str | None, model: Model, coverage: float = COVERAGE) -> list[
         return []
     marked = mark_fields(text)
     low = marked.lower()
-    if "<campo>" not in marked and not _telling(low, model):
+    latin = _latin(low)
+    if "<campo>" not in marked and not latin and not _telling(low, model):
         return []
     out = []
     k = 0
@@ -245,11 +272,12 @@ def residue(text: str | None, model: Model, coverage: float = COVERAGE) -> list[
             out.append((k, p, 1.0))
             continue
         q = p.lower()
-        if not _telling(q, model):
+        latin_here = latin and _latin(q)
+        if not latin_here and not _telling(q, model):
             continue
         best = 0.0
         for w in windows(q):
-            ws = words(w)
+            ws = words(w) if latin_here or _telling(w, model) else ()
             if ws and len(ws) <= 60:
                 best = max(best, model.coverage(ws))
             elif ws and sum(x == "<latín>" for x in ws) > 0.5 * len(ws):
@@ -263,29 +291,57 @@ def _latin(low: str) -> bool:
     return any(s in low for s in _LATIN) and _LATIN_LIKE.search(low) is not None
 
 
+_ORDER = sorted(VOCABULARY)
+_SIGN = {w: chr(0x100 + k) for k, w in enumerate(_ORDER)}
+
+
+def signs(text: str | None) -> Iterator[tuple[int, str]]:
+    """``(id, exemplars' words as one character each)`` of the paragraphs of a text; figures, codes and paths are not in the id."""
+    for p in _BLANK.split(text.lower()) if text else ():
+        if p and not p.isspace():
+            yield xxhash.xxh64_intdigest(" ".join(filter(str.isalpha, p.split()))) - 2**63, "".join(map(_SIGN.__getitem__, VOCABULARY.intersection(_LETTERS.findall(p))))
+
+
+def model_of(counts: dict[str, int]) -> Model:
+    """Model of the counts by sign; the empty sign counts the paragraphs."""
+    return Model(counts.get("", 0), {w: counts.get(_SIGN[w], 0) for w in _ORDER})
+
+
 def train(rows: DataFrame) -> Model:
-    """Document frequencies over all rows of ``(markdown)``; a partition counts its own, one small table reaches the driver."""
+    """Frequencies over the distinct paragraphs of all rows of ``(markdown)``, so that residue, however often, counts once.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A partition sends each of its distinct paragraphs once, as an id and the exemplars' words in it; one row for each of
+    these words reaches the driver.
+    """
+
+    def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        for batch in batches:
+            new = {h: w for text in batch["markdown"] for h, w in signs(text) if h not in seen}
+            seen.update(new)
+            yield pd.DataFrame({"h": pd.Series(list(new), dtype="int64"), "w": list(new.values())})
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         counts: Counter = Counter()
-        n = 0
         for batch in batches:
-            for text in batch["markdown"]:
-                n += 1
-                if text:
-                    counts.update(VOCABULARY.intersection(_LETTERS.findall(text.lower())))
-        yield pd.DataFrame([("", n), *counts.items()], columns=["w", "n"])
+            for h, w in zip(batch["h"], batch["w"]):
+                if h not in seen:
+                    seen.add(h)
+                    counts.update(w)
+                    counts[""] += 1
+        yield pd.DataFrame(list(counts.items()), columns=["w", "n"])
 
-    total = rows.select("markdown").mapInPandas(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")).collect()
-    found = {r.w: r.n for r in total}
-    return Model(found.pop("", 0), found)
+    once = rows.select("markdown").mapInPandas(distinct, "h bigint, w string").repartition("h")
+    total = once.mapInPandas(count, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")).collect()
+    return model_of({r.w: r.n for r in total})
 
 
 def found(rows: DataFrame, model: Model | None = None, coverage: float = COVERAGE) -> DataFrame:
     """``(texto_id, parrafo, texto, cobertura)``: the residue paragraphs of ``(texto_id, markdown)``.
 
     Null and empty texts have none; repeated rows give repeated results; an empty table gives none. Texts are read
-    whole; the statistics are those of all rows.
+    whole; the statistics are those of the distinct paragraphs of all rows.
     """
     rows = rows.select("texto_id", "markdown")
     if model is None:

@@ -56,3 +56,22 @@ def test_codes_and_mock_latin_alone(model, text):
 @pytest.mark.parametrize("text", ["ARTÍCULO 12Bis", "Artícul0 7", "Se protocoli2ará.", "Aguas S.A.S.", "www.gaceta.gov.co", "portal.gaceta.gov.co", "Señor(a)", "12/03/2010"])
 def test_figures_and_points_of_real_words(model, text):
     assert not R.residue(text, model)
+
+
+def test_frequent_residue(spark):
+    page = "La página solicitada no existe. Vuelva al inicio."
+    rows = [(k, f"El juez decidirá el recurso {k} de la parte.") for k in range(40)] + [(100 + k, page) for k in range(20)]
+    df = spark.createDataFrame(rows, "texto_id bigint, markdown string")
+    assert sorted(r.texto_id for r in R.found(df).collect()) == list(range(100, 120))
+
+
+@pytest.mark.parametrize("text", ["Su sesión ha expirado.", "Error 503", "Xxx xxx xxx", "Prueba prueba prueba 6", "La página solicitada no existe"])
+def test_one_row(spark, text):
+    rows = spark.createDataFrame([(1, text)], "texto_id bigint, markdown string")
+    assert [r.texto_id for r in R.found(rows).collect()] == [1]
+
+
+@pytest.mark.parametrize("text", ["El juez decidirá el recurso de la parte.", "Prueba", "A falta\nde norma.", "TÍTULO I", "Artículo 5. El título de la solicitud se archivará."])
+def test_one_row_of_real_content(spark, text):
+    rows = spark.createDataFrame([(1, text)], "texto_id bigint, markdown string")
+    assert R.found(rows).count() == 0
