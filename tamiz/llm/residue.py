@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 COVERAGE = 0.6
 #: Exemplars that may cover a window together.
 TOGETHER = 3
+#: Words that are covered at once; longer sentences and lines are covered by windows that overlap by half.
+WIDTH = 60
 
 # fixed values: labelled exemplars of residue by class; <0> figure, <ruta> path, <codigo> code or (beside other words) letters with figures, <campo> unfilled field
 EXEMPLARS: dict[str, list[str]] = {
@@ -278,9 +280,9 @@ def residue(text: str | None, model: Model, coverage: float = COVERAGE) -> list[
         best = 0.0
         for w in windows(q):
             ws = words(w) if latin_here or _telling(w, model) else ()
-            if ws and len(ws) <= 60:
-                best = max(best, model.coverage(ws))
-            elif ws and sum(x == "<latín>" for x in ws) > 0.5 * len(ws):
+            for i in range(0, max(len(ws) - WIDTH // 2, 1), WIDTH // 2):
+                best = max(best, model.coverage(ws[i : i + WIDTH]) if ws else 0.0)
+            if len(ws) > WIDTH and sum(x == "<latín>" for x in ws) > 0.5 * len(ws):
                 best = 1.0
         if best >= coverage:
             out.append((k, p, best))

@@ -75,3 +75,12 @@ def test_one_row(spark, text):
 def test_one_row_of_real_content(spark, text):
     rows = spark.createDataFrame([(1, text)], "texto_id bigint, markdown string")
     assert R.found(rows).count() == 0
+
+
+@pytest.mark.parametrize("text", ["bla " * 100, "xxx " * 61, "su sesión ha expirado inicie sesión para continuar " * 12, "El juez decidirá el recurso de la parte y " * 9 + "javascript is disabled in your browser turn it on to view this page " * 7])
+def test_long_sentences_without_marks(model, text):
+    assert R.residue(text, model)
+
+
+def test_long_real_sentence(model):
+    assert not R.residue("El juez decidirá el recurso de la parte y el operador verificará la sesión del usuario en la norma, " * 12, model)
