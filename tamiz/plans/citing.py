@@ -26,6 +26,7 @@ def cited_articles(s: SparkSession, d: str) -> DataFrame:
 
 
 def citation_in_degree(s: SparkSession, d: str) -> DataFrame:
+    """Norms cited by at least three documents; all rows are counted, the threshold is what the report, like its SQL, asks for."""
     return cited_norms(s, d).groupBy("cited").agg(F.countDistinct("doc_id").alias("docs")).where("docs >= 3")
 
 

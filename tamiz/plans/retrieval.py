@@ -39,6 +39,7 @@ def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def term_frequencies(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of at least three texts; all rows are counted, the threshold is what the report, like its SQL, asks for."""
     p = lexical.postings(_corpus(spark, d), T.tokens(F.col("text")))
     return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).where("df >= 3")
 

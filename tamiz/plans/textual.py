@@ -51,6 +51,7 @@ def legal_token_counts(s: SparkSession, d: str) -> DataFrame:
 
 
 def content_words(s: SparkSession, d: str) -> DataFrame:
+    """Content words of at least five texts; all rows are counted, the threshold is what the report, like its SQL, asks for."""
     t = _texts(s, d).select("doc_id", F.explode_outer(T.content_words(F.col("texto"))).alias("w"))
     return t.where("w is not null").groupBy("w").agg(F.count(F.lit(1)).alias("df")).where("df >= 5")
 
@@ -117,7 +118,7 @@ def number_format(s: SparkSession, d: str) -> DataFrame:
 
 
 def five_grams_shared(s: SparkSession, d: str) -> DataFrame:
-    """Runs of five words that stand in at least twenty norms' texts."""
+    """Runs of five words that stand in at least twenty norms' texts; all rows are counted, the threshold is what the report, like its SQL, asks for."""
     t = _texts(s, d).select("doc_id", T.tokens(F.col("texto")).alias("t")).select("doc_id", F.explode_outer(F.array_distinct(T.ngrams(F.col("t"), 5))).alias("g"))
     return t.where("g is not null").groupBy("g").agg(F.countDistinct("doc_id").alias("n")).where("n >= 20")
 
