@@ -1,17 +1,21 @@
 """Template residue, filler, error pages and demands for scripts among real text.
 
-Labelled exemplars of residue are indexed by their words. Every passage window (paragraph, line, sentence) of a text
-retrieves the exemplars that share its telling words; the window is residue when few exemplars of one class contain
-enough of its TF-IDF mass. Unfilled fields of templates, codes, paths and figures are single words of the index.
+Labelled exemplars of residue are indexed by their word stems. An exemplar is a message with slots: a slot is one word
+or several that stand for it, so that a message in new wording retrieves it, too. Every passage window (line, sentence,
+paragraph) retrieves the exemplars whose telling words it holds; it is residue when the exemplars of one class contain
+enough of its TF-IDF mass. Unfilled fields of templates, codes, paths, mock Latin and words that only repeat are words
+of the index like any other.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
+import operator
 import re
+import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,53 +25,122 @@ from pyspark.sql import functions as F
 
 #: Share of a window's mass that exemplars must contain.
 COVERAGE = 0.6
-#: Exemplars that may cover a window together.
-TOGETHER = 3
-#: Words that are covered at once; longer sentences and lines are covered by windows that overlap by half.
+#: Share of an exemplar's own mass that a window must hold.
+HELD = 0.5
+#: Words that are scored at once; longer passages are covered by windows that overlap by half.
 WIDTH = 60
 
-# fixed values: labelled exemplars of residue by class; <0> figure, <ruta> path, <codigo> code or (beside other words) letters with figures, <campo> unfilled field
+# fixed values: labelled exemplars by class. Words are slots, alternatives are set apart by |; a slot with ! must be held, one with ? may be.
+# <0> figure, <ruta> path, <codigo> what only machines write, <clave> letters with figures, <campo> unfilled field, <latín> mock Latin, <eco> a word that repeats itself
 EXEMPLARS: dict[str, list[str]] = {
-    "plantilla": ["<campo>"],
+    "plantilla": ["!<campo>"],
     "relleno": [
-        "lorem ipsum dolor sit amet consectetur adipiscing elit", "test test test test", "xxx xxx xxx", "abc abc abc", "asdf asdf asdf", "qwerty qwerty qwerty", "foo bar baz",
-        "bla bla bla", "blablá blablá blablá", "blablá y más texto", "etcétera bla y más texto etcétera", "prueba prueba prueba", "texto texto texto", "párrafo de muestra número <0>",
-        "este contenido se sustituirá cuando la oficina editora entregue la versión final", "aquí va el texto", "aquí va el contenido", "texto de relleno para antes de publicar", "sample text for", "placeholder para",
-        "placeholder text", "contenido de prueba reemplazar antes de publicar", "texto de ejemplo", "texto de prueba", "pendiente de digitar", "todo cargar", "todo cargar los considerandos antes de publicar", "todo cargar el artículo", "fixme completar", "por completar antes de publicar", "contenido pendiente", "insertar aquí el texto", "escriba en este espacio", "escriba aquí el texto", "escriba en este espacio el encabezado de la norma", "this is a sample paragraph",
-        "your text here", "coming soon", "próximamente", "título de ejemplo", "borrar este texto antes de publicar", "reemplace este texto", "dummy text",
-        "aquí va el texto los considerandos antes de publicar", "aquí va el texto la parte resolutiva", "sample text for el anexo técnico", "texto de relleno para la nota de vigencia antes de publicar",
-        "contenido de prueba reemplazar el artículo antes de publicar", "placeholder para la parte resolutiva", "pendiente de digitar el encabezado de la norma",
-        "el cuerpo de la norma", "el título de la norma", "la fecha de expedición", "el epígrafe", "la firma", "el resumen", "el anexo técnico", "los considerandos", "la parte resolutiva", "la nota de vigencia", "el encabezado de la norma",
+        "!<latín> ?sit ?dolor ?dolore ?et ?ut ?sed ?non ?do ?eiusmod ?incididunt ?labore ?magna ?enim ?ad ?minim ?quis ?nostrud ?ex ?ea ?commodo ?duis ?aute ?irure ?eu ?fugiat ?sint ?id ?est",
+        "!<eco>",
+        "!relleno|muestra|ejemplo|demostración|ficticio !texto|párrafo|contenido|datos|título|documento|página ?número ?<0> ?temporal ?este ?aún ?todavía ?parte ?artículo ?norma ?anexo ?nota ?encabezado ?título ?considerandos ?resolutiva ?vigencia ?técnico",
+        "!texto|párrafo|contenido|sección|apartado|página !provisional|temporal|sustituirá|reemplazará|sustituirse|reemplazarse|sustituido|reemplazado|sustituir|reemplazar|reemplace|sustituya|cambiará|borrar|borre|eliminar ?oficina ?editora|editor|redacción|equipo ?entregue|envíe|publique|remita versión|publicar|definitivo|final|oficial ?antes ?cuando ?luego ?después",
+        "!aquí|acá|espacio|recuadro|hueco va|vendrá|irá|aparecerá|escriba|escribir|inserte|insertar|coloque|colocar|pegue|pegar|redacte|introduzca|ingrese ?texto|contenido|resumen|cuerpo|título|encabezado|considerandos|epígrafe|firma|fecha ?publicar",
+        "!pendiente|falta|faltan !digitar|digitación|transcribir|redactar|completar|diligenciar|cargar|insertar|publicar ?texto ?contenido ?parte ?artículo ?norma ?anexo ?nota ?encabezado ?título ?considerandos ?resolutiva ?vigencia ?técnico",
+        "!contenido|sección|página !pendiente|construcción|elaboración|desarrollo|preparación ?digitación|revisión ?edición",
+        "!todo|fixme|tbd|pendiente !cargar|completar|revisar|escribir|actualizar|corregir|definir|agregar|redactar ?texto ?contenido ?antes ?publicar ?parte ?artículo ?norma ?anexo ?nota ?encabezado ?título ?considerandos ?resolutiva ?vigencia ?técnico",
+        "!antes !publicar|publicación|lanzar !reemplazar|borrar|completar|cargar|sustituir|texto|contenido|revisar ?prueba|relleno|muestra|ejemplo",
+        "!contenido|texto|página|documento !prueba|pruebas|test|demo|muestra reemplazar|borrar|publicar|ignorar|eliminar|sustituir ?antes ?favor",
+        "!etcétera|blablá|bla texto|etcétera|blablá|bla|bla|más",
+        "!próximamente|coming|soon disponible|soon|próximamente|página|contenido",
+        "!sample|dummy|filler|example|placeholder|demo text|paragraph|content|title|data|copy ?this ?here ?for ?page ?goes",
+        "!placeholder ?texto ?contenido ?imagen ?nombre ?antes ?publicar ?parte ?artículo ?norma ?anexo ?nota ?encabezado ?título ?considerandos ?resolutiva ?vigencia ?técnico",
+        "!text|content|title|name|headline|message !here|goes ?add ?write ?insert ?replace",
+        "!replace|remove|delete|insert|edit|add this|your text|content|paragraph|copy|title before|here|publishing|launch",
     ],
     "error": [
-        "error <0>", "<0> not found", "<0> forbidden", "<0> bad gateway", "<0> service unavailable", "<0> internal server error", "<0> gateway time-out", "<0> gateway timeout", "<0> unauthorized", "<0> bad request",
-        "<0> page not found", "access denied", "you don't have permission to access <ruta>", "you do not have permission to view this page", "reference <codigo>",
-        "the requested url <ruta> was not found on this server", "the requested url <ruta> could not be served", "the requested url <ruta> is temporarily unavailable", "apache server at port <0>",
-        "la página solicitada no existe", "la página que busca no existe", "página no encontrada", "el recurso fue movido o eliminado", "no encontramos lo que busca", "esta dirección ya no está disponible",
-        "el archivo <ruta> está dañado o no se puede abrir", "el servidor no pudo completar la petición", "el servidor no pudo completar la solicitud", "algo salió mal al cargar esta norma", "algo salió mal", "no pudimos mostrar el documento", "ha ocurrido un error inesperado",
-        "ocurrió un error al procesar la solicitud", "error interno del servidor", "lo sentimos", "¡ups", "vaya", "atención", "intente más tarde", "intente de nuevo", "intente nuevamente más tarde", "vuelva a intentarlo",
-        "vuelva al inicio", "volver al inicio", "use el buscador", "comuníquese con el administrador", "contacte al administrador del sitio", "la consulta no arrojó resultados para el documento <0>", "no se encontraron resultados",
-        "verifique los parámetros e intente de nuevo", "servicio suspendido temporalmente", "sitio en mantenimiento", "estamos actualizando la plataforma", "regresamos a las <0> de la tarde", "regresamos a las <0> de la mañana", "regresamos a las <0> de la noche", "volveremos pronto",
-        "warning <codigo> failed to open stream in <ruta> on line <0>", "warning <codigo> too many connections in <ruta> on line <0>", "warning <codigo> connection refused in <ruta> on line <0>", "notice undefined variable in <ruta> on line <0>", "fatal error in <ruta> on line <0>",
-        "error <codigo> la tabla normas no existe", "error <codigo> no se puede abrir la base de datos", "error <codigo> tiempo de espera agotado", "error al conectar con la base de datos", "<codigo> pool agotado", "<codigo>", "at <codigo>", "typeerror undefined is not a function", "null reference",
-        "uncaught exception", "stack trace", "demasiadas solicitudes desde su red", "hemos detectado tráfico inusual", "verifique que usted no es un robot", "identificador de incidente <codigo>", "too many requests", "captcha",
+        "!error <0>|<clave>|<codigo>|interno|fatal|inesperado|crítico|desconocido|servidor|conexión|sistema ?código ?http ?estado",
+        "<0> !found|forbidden|unauthorized|gateway|request|timeout|unavailable|gone|timeout|conflict|teapot ?not ?page ?bad ?service ?time ?out ?time-out ?error ?document ?resource",
+        "<0> !internal|bad|service server|request|gateway|unavailable|error ?time ?out",
+        "!access|permission|forbidden|authorized denied|restricted|forbidden|permission|access|view|authorized ?you ?not ?page ?resource ?this ?server ?<ruta>",
+        "!acceso denegado|prohibido|restringido|rechazado ?recurso|página|contenido ?usted ?permisos|permiso|autorizado",
+        "!permisos|autorización|privilegios|autorizado !ver|acceder|visualizar|abrir|consultar página|contenido|recurso|sitio|sección|archivo ?suficientes ?tiene ?usted",
+        "!reference|incident|request|trace|ray|correlation|support id|<clave>|<codigo>|<0>|number|code",
+        "!identificador|código|referencia|número|radicado !incidente|error|fallo|ticket <clave>|<codigo>|<0>",
+        "requested|page|url|resource|file|document !found|exist|available|unavailable|served|moved|removed|deleted|loaded|retrieved|located ?server ?this ?was ?not ?temporarily ?could ?be ?<ruta> ?looking ?longer ?sorry ?can ?find",
+        "!apache|nginx|iis|tomcat|openresty|litespeed|varnish|squid|cloudflare server|port|<0>|<clave>|cache|gateway",
+        "!página|sitio|url|dirección|enlace|recurso|portal|vínculo|web|documento|contenido !solicitada|solicitado|busca|buscada|pedida|requerida|intenta|pide|consultada !existe|encontrada|encontrado|encontró|encuentra|disponible|hallada|localizar|responde|accesible|eliminada ?acceder ?ya ?ver ?documento ?sentimos",
+        "!página|sitio|url|dirección|enlace|recurso|portal|vínculo|web !existe|encontrada|encontrado|encontró|encuentra|disponible|hallada|localizar|responde|accesible|caído|roto|inaccesible ?ya ?esta ?temporalmente|momento",
+        "!recurso|página|enlace|contenido|dirección|archivo|vínculo|documento !movido|movida|trasladado|trasladada|reubicado|retirado|retirada|roto|rota|cambió|cambiado eliminado|eliminada|borrado|borrada|retirado|retirada|dirección|lugar|existe ?servidor ?posiblemente ?pudo",
+        "no !encontramos|encontrado|hallamos|localizamos|ubicamos|hay !busca|buscaba|buscado|solicita|pide|pidió|necesita|quiere ?página|documento|recurso|contenido|archivo ?pudimos",
+        "!archivo|documento|fichero|adjunto|pdf|imagen !dañado|corrupto|corrompido|ilegible|incompleto|vacío|bloqueado abrir|abrirse|leer|leerse|descargar|mostrar|reparar|cargar ?pudo ?puede ?<ruta>",
+        "!servidor|sistema|sitio|portal|aplicación|aplicativo|plataforma|backend|servicio pudo|puede|logró|consiguió|pude !completar|procesar|atender|responder|cargar|ejecutar|entregar|contestar|responde|respondió ?petición|solicitud|operación|página|consulta|tiempo",
+        "!algo salió|anduvo|fue|funcionó|rompió|falló|dañó|va !mal|rompió|falló|dañó|lado|cargar|mostrar|nuestro ?norma|página|documento|contenido ?estamos ?arreglando|revisando",
+        "!something|things went|broke|gone|happened !wrong|broke|bad|side|end ?our ?please ?again ?we ?working ?fixing ?it",
+        "no !pudimos|logramos|posible|conseguimos|podemos|imposible !mostrar|mostrarle|abrir|recuperar|visualizar|desplegar|cargar|obtener|descargar documento|norma|página|contenido|archivo|providencia|texto|información|resultados ?momento ?solicitado",
+        "!error|problema|falla|fallo|excepción|inconveniente !ocurrió|ocurrido|presentó|presentado|produjo|producido|sucedió|detectó|hubo|inesperado|interno|técnico|hay ?procesar|cargar|mostrar|abrir ?servidor|sistema|página ?solicitud|petición ?nuestro ?intente",
+        "!internal|unexpected|server|database|network|unknown !error|failure|exception|problem ?occurred ?server ?an ?has ?please ?try ?again",
+        "!sentimos|lamentamos|disculpe|disculpas|perdón|ups|uy|oops|vaya|atención página|documento|dirección|problema|mal|inconveniente|molestias|contenido|servicio|sitio|error|encontramos|disponible ?causadas|ocasionadas|causados ?pudimos ?mostrar ?salió ?cargar ?ya ?algo",
+        "!intente|intentar|inténtelo|inténtalo|vuelva|reintente|espere !tarde|minutos|nuevamente|nuevo|intentarlo|intentar|otra|momento|instantes|segundos|después|luego ?más ?vez ?por ?favor ?unos",
+        "!try !again|later|refresh|reload ?please ?few ?minutes ?moments ?or",
+        "!vuelva|volver|regrese|regresar|retorne|ir|vaya !inicio|portada|principal|anterior|atrás|home ?página ?sitio ?portal",
+        "!use|utilice|usar|utilizar|intente !buscador|búsqueda|búsquedas|menú|navegación ?sitio ?avanzado|avanzada ?superior ?mapa",
+        "!comuníquese|contacte|póngase|contactar|llame !administrador|webmaster|soporte|mesa ?sitio ?sistema ?ayuda ?portal ?problema ?persiste ?error",
+        "!consulta|búsqueda|criterio|criterios|filtro|filtros no !arrojó|arrojaron|produjo|devolvió|retornó|obtuvo|generó|coincide|coinciden resultados|resultado|registros|coincidencias|datos|documentos ?documento ?<0> ?encontraron",
+        "no !encontraron|encontró|hallaron|existen|hay|obtuvieron !resultados|coincidencias|registros|documentos ?búsqueda|consulta|criterios ?<0>",
+        "!verifique|revise|compruebe|corrija|confirme !parámetros|url|dirección|enlace|criterios|filtros|conexión|internet ?intente ?nuevo ?red",
+        "!servicio|sitio|portal|sistema|página|plataforma|aplicativo|web !suspendido|suspendida|mantenimiento|inhabilitado|interrumpido|disponible|caído|labores ?temporalmente|momento|programado|programadas ?en ?encuentra ?disculpe ?molestias ?hoy",
+        "!sitio|portal|página|servidor|plataforma|sistema !fuera !servicio|línea ?temporalmente ?encuentra ?disculpe ?molestias",
+        "!mantenimiento|actualización|migración|mejoras|labores !sitio|portal|sistema|plataforma|página|programado|programadas|servidores|web ?temporal ?realizando ?encuentra ?disculpe ?molestias ?volveremos ?pronto",
+        "!actualizando|mejorando|migrando|arreglando|renovando|reparando !plataforma|sitio|portal|sistema|página|servidores|servicio|experiencia|solucionarlo|problema|ello ?estamos",
+        "!regresamos|volvemos|volveremos|regresaremos|estaremos|volverá|restablecerá !<0>|pronto|línea|minutos|horas|breve|mañana|tarde|noche ?servicio ?tarde ?mañana ?noche ?disponible",
+        "!under|down|scheduled|temporarily maintenance|unavailable|construction|offline ?site ?this ?is ?for ?be ?back ?soon ?currently",
+        "!back|online !soon|shortly|momentarily ?working ?fixing",
+        "!warning|notice|deprecated|fatal|parse|strict <codigo>|error|undefined|variable|stream|<ruta>|line|connections|refused|index|failed ?to ?open ?in ?on ?<0> ?too ?many ?connection ?function ?call ?memory ?exhausted ?uncaught",
+        "!error|ora|sql|sqlstate|odbc|mysql|postgres|jdbc tabla|vista|columna|esquema|base|conexión|consulta|sintaxis|cursor|tiempo|espera !existe|abrir|datos|agotado|agotada|encontrada|válida|rechazada|denegado|sintaxis|conectar|conexión ?norma|normas ?<clave> ?<0> ?<codigo> ?puede",
+        "!conectar|conexión|conectarse|conectando base|datos|servidor|sql|internet !error|perdió|rechazada|agotada|fallida|falló|imposible|pudo|establecer|perdida|interrumpida",
+        "!tiempo|plazo|timeout|pool|conexiones !agotado|agotada|agotadas|excedido|superado|timeout !espera|<codigo>|error|conexión|servidor|respuesta|ejecución",
+        "!<codigo> ?agotado ?pool ?at ?error ?undefined ?function ?null ?exception ?not ?is ?of ?read ?property ?cannot",
+        "!typeerror|referenceerror|syntaxerror|nullpointerexception|traceback|stacktrace|uncaught|undefined function|undefined|null|recent|exception|defined|token|property|error|call ?not ?is ?most ?last ?unexpected ?reference ?of ?cannot ?read",
+        "!null|undefined reference|variable|function|index|property|object|pointer|exception ?not ?is ?set ?an ?instance",
+        "!stack|uncaught|unhandled trace|exception|error|rejection ?promise ?in",
+        "!demasiadas|demasiados|exceso|límite !solicitudes|peticiones|intentos|consultas|conexiones !red|ip|equipo|dirección|espere|minutos|superado|alcanzado|excedido|servidor ?desde ?su",
+        "!tráfico|actividad|comportamiento !inusual|sospechoso|sospechosa|automatizado|automático|anormal|anómalo red|detectado|equipo|ip|dirección|sistemas ?hemos ?desde ?su",
+        "!verifique|confirme|demuestre|compruebe|verificando|marque|valide|comprobando !robot|humano|humana|captcha|bot ?usted ?soy ?no ?es ?casilla",
+        "!too|rate !many|limit requests|exceeded|connections ?slow",
+        "!captcha|recaptcha ?robot ?i ?not ?am ?complete ?verifique",
+        "!verify|checking|confirm human|browser|robot|connection|secure !human|browser|robot|secure ?you ?are ?not ?your ?before ?proceeding",
+        "!solicitud|petición|dirección bloqueada|rechazada|denegada !firewall|cortafuegos|bloqueada|waf ?acceso ?fue ?por ?reglas",
     ],
     "sesion": [
-        "su sesión ha expirado", "su sesión ha caducado", "su sesión ha finalizado por inactividad", "la sesión ha terminado", "inicie sesión para continuar", "ingrese de nuevo", "cierre la ventana", "debe iniciar sesión para ver este contenido", "ingrese su usuario y contraseña",
-        "session expired", "please log in to continue",
+        "!sesión expirado|expirada|expiró|caducado|caducada|caducó|finalizado|finalizada|finalizó|vencido|vencida|venció|terminado|terminada|terminó|cerrado|cerrada|cerró|agotado|agotada|concluido|inactividad|iniciar !expirado|expirada|expiró|caducado|caducada|caducó|finalizado|finalizada|finalizó|vencido|vencida|venció|terminado|terminada|terminó|cerrado|cerrada|cerró|agotado|agotada|inactividad|segundo|seguridad ?su ?inactividad ?tiempo ?seguridad ?actual",
+        "!inicie|iniciar|inicia|reinicie|abra|reanude !sesión continuar|nuevo|nuevamente|ver|acceder|contenido|página|consultar|documento|otra ?debe ?vez ?cuenta ?usuario ?seguir",
+        "!ingrese|ingresar|entre|acceda|identifíquese|autentíquese|autenticarse|loguearse|regístrese|conéctese !nuevo|nuevamente|usuario|contraseña|clave|credenciales|cuenta|continuar|portal|sistema|sesión|correo|vez ?otra ?su",
+        "!acceso|enlace|token|credencial|credenciales !expirado|expiró|caducado|caducó|vencido|venció|vencidas|caducadas|inválido|inválidas|válido|incorrectas autenticarse|ingrese|nuevamente|enlace|usuario|cuenta|página|portal|sistema|acceso|solicite|token ?vuelva ?nuevo ?otro ?uno",
+        "!usuario|contraseña|cuenta !contraseña|incorrecta|incorrecto|inválido|inválida|bloqueada|registrado|olvidó|recordar|recuperar|suspendida ?usuario ?clave ?olvidado",
+        "!cierre|cerrar|recargue|refresque|actualice !ventana|navegador|pestaña|página ?sesión ?nuevo ?intente ?vuelva",
+        "!session|login|token !expired|timed|ended|invalid|required|out|closed ?your ?has ?please ?again ?due ?inactivity",
+        "!log|sign|login|signin continue|again|account|view|required|access|page ?please ?in ?you ?must ?be ?logged ?to",
     ],
     "guiones": [
-        "javascript is disabled in your browser", "turn it on to view this page", "turn it on to run this app", "turn it on to continue", "you need to enable javascript to view this page", "you need to enable javascript to run this app", "you need to enable javascript to continue",
-        "please enable javascript to continue", "please enable javascript to run this app", "please enable javascript to view this page", "please enable cookies", "active las cookies y los scripts del dominio para leer el documento", "active las cookies y los scripts del dominio para ver la norma completa",
-        "active las cookies y los scripts del dominio para consultar la providencia", "este sitio requiere que javascript esté habilitado", "el portal requiere que javascript esté habilitado", "la relatoría requiere que javascript esté habilitado", "el visor de normas requiere que javascript esté habilitado",
-        "este sitio no funciona sin javascript", "el portal no funciona sin javascript", "la relatoría no funciona sin javascript", "el visor de normas no funciona sin javascript", "este sitio necesita scripts activos para mostrar el texto", "el portal necesita scripts activos para mostrar el texto",
-        "la relatoría necesita scripts activos para mostrar el texto", "actívelo y recargue la página", "revise la configuración del navegador", "habilite javascript en su navegador", "su navegador no es compatible con el visor", "su navegador no admite marcos", "su navegador está desactualizado",
-        "su navegador bloquea los scripts de esta página", "habilítelos para continuar", "descargue una versión reciente", "cambie de navegador", "cargando", "cargando por favor noscript", "cargando por favor espere", "loading", "loading por favor", "espere un momento", "espere un momento por favor", "noscript",
-        "si el texto no aparece active javascript", "esta vista depende de scripts que su equipo no ejecutó", "please wait while the page loads",
+        "!javascript|javascripts|scripts|script|ecmascript disabled|enable|enabled|habilite|habilitado|habilitar|active|activado|activar|actívelo|desactivado|deshabilitado|bloqueado|requiere|necesita|permitir|permita|ejecutar|ejecución|ejecute|funciona|sin|required|requires|allow|turn|needs|run|supported|apagado|encender ?navegador ?browser ?página ?sitio ?page ?site ?app ?application ?view ?continue ?visor ?portal ?norma|normas ?relatoría ?mostrar ?texto ?contenido ?visualizar ?ver ?correctamente ?content ?please ?your ?you ?need ?to ?this ?activos ?habilitados ?cookies ?on ?must ?have ?works ?aparece ?usar ?use ?para ?puede ?aplicación ?documento ?esta ?properly ?is ?it ?without ?in",
+        "!cookies|cookie active|habilite|acepte|permita|enable|accept|allow|habilitar|requiere|disabled|desactivadas|bloqueadas|scripts|navegador ?scripts ?dominio ?sitio ?leer ?documento ?ver ?norma ?completa ?consultar ?providencia ?página ?please ?your ?browser ?to ?continue ?javascript ?continuar ?acceder ?contenido",
+        "!turn|switch|enable on|view|run|continue|page|app|javascript !view|run|continue|page|app|javascript|reload ?it ?this",
+        "!actívelo|actívelos|habilítelo|habilítelos|actívela|activarlo|habilitarlo|permítalos|desbloquéelos recargue|continuar|página|navegador|intente|seguir|nuevo ?vuelva",
+        "!revise|cambie|ajuste|consulte !configuración|ajustes|opciones|preferencias !navegador|explorador|equipo|browser",
+        "!navegador|explorador|browser compatible|admite|soporta|desactualizado|obsoleto|antiguo|bloquea|soportado|permite|puede|versión|incompatible|supported|outdated|actualice|viejo ?visor ?marcos ?scripts ?página ?su ?sitio ?esta ?javascript ?ejecutar ?your ?is ?reciente ?contenido ?mostrar ?no ?frames ?iframes",
+        "!descargue|instale|actualice|use|utilice|cambie|pruebe|abra|change|update !navegador|explorador|browser|versión|chrome|firefox|edge|reciente ?reciente ?moderno ?compatible ?otro ?una ?actualizado",
+        "!cargando|loading ?por ?favor ?espere ?momento ?contenido ?página ?datos ?documento ?please ?wait ?noscript ?un ?content ?page",
+        "!espere|aguarde|wait momento|instante|segundos|favor|cargando|please|loading|cargue|mientras|segundo ?un ?por ?unos ?page ?while ?the ?loads ?página ?noscript ?contenido ?carga ?moment ?a",
+        "!noscript ?cargando ?momento ?espere",
+        "!vista|página|contenido|sitio|aplicación depende|requiere|necesita|usa !scripts|script|javascript ?ejecutó|ejecutados ?equipo ?navegador ?esta",
+        "texto|contenido|documento|página !aparece|muestra|visualiza|ve !javascript|scripts|recargue ?active ?habilite ?navegador ?si ?no",
+        "!interactiva|dinámica|dinámico|aplicación navegador|página|contenido|requiere !javascript|scripts|navegador",
     ],
 }
+# fixed values: words that say nothing of a window's matter and are weighed on neither side
+_COMMON = """a al ante aquel aquella con de del desde e el ella en entre es esa ese eso esta está este esto están fue ha han hay la las le les lo los me mi más ni no nos o para pero por que se ser si sin sobre son su sus te tu u un una
+uno usted y ya nuestro nuestra nuestros cuando como donde muy hemos ha he haya sea an and are as at be been but by can do for from has have if in is it its of on or our so that the their then there this to was we were will with you your""".split()
 # fixed values: stems of the customary filler in mock Latin
 _LATIN = "lorem ipsum dolor amet consect adipisc elit vestibul aliqu matti velit viverr pellentes quisque sagitt tempor tincid feugiat ornare rutrum nunc lacus magnis sodal congue fusce maecenas curabitur praesent phasell vivamus donec nulla".split()
+# fixed values: words that begin like mock Latin
+_SPANISH = frozenset("dolor dolores dolorosa elite temporal temporales temporada temporalmente temporalidad aliquota alícuota nulla fuscamente magnisterio".split())
+# fixed values: endings that a stem has no longer, the longer first
+_ENDINGS = "aciones iciones arselo ándolo ación ición adores adoras ador adora ando iendo ados adas idos idas ado ada ido ida arse erse irse ar er ir ing ed os as es ó o a e s".split()
 
 _FIELD = re.compile(
     r"\{\{\s*[a-z]\w*(?:(?:\.|->)\w+)*\s*\}\}|\$\{\s*[\w.>-]+\s*\}|#\{\s*[\w.]+\s*\}|(?<![{$#%])\{[a-z]\w*(?:\.\w+)*\}(?!\})|<%.*?%>|\{%.*?%\}|@@\w+@@|%[A-Z][A-Z_]{2,}%|\$[a-z]\w*(?:(?:->|\.)\w+)*\$"
@@ -77,17 +150,12 @@ _FIELD = re.compile(
 _FIELD_BEGIN = re.compile(r"[{$#<%@&\[_]")
 _FIELD_WORD = re.compile(r"(?<![\w.])undefined(?! is not)(?!\w)|(?<!\w)NaN(?!\w)|(?<!\w)X{4,}(?!\w)")
 _WORD = re.compile(r"<campo>|(?:[\w.$-]*[\w$]\()[\w./$:-]*\)?:?|[a-z]:?(?:/[\w.~-]+)+|(?:/[\w.~-]+){1,}|\w+(?:[.:]\w+){2,}|#?\d*\.?\w*\d\w*(?:\.\w+)*|[^\W\d_]+(?:['’-][^\W\d_]+)*")
-# Wherever a word becomes <codigo>, <clave> or <ruta>, these match; they match more.
-_CODE_LIKE = re.compile(r"\((?<=[\w$].)|[.:](?<=\w.)\w+[.:]\w")
-_KEY_LIKE = re.compile(r"\((?<=[\w$].)|[.:](?<=\w.)|#\d|\d[^\W\d]|[^\W\d]\d|[²³¹]")
-_PATH_LIKE = re.compile(r"/[\w.~-]")
 # Codes that only machines write: calls, and dotted names that are no host and no initials.
 _CODE = re.compile(r"[\w.$-]*[._$][\w.$-]*\(.*|[\w$-]{3,}\((?:\).*|[\w-]*[./$:].*)|(?!www\.)(?=(?:\w+[.:])*[^\W\d_]{3,}[.:](?:\w+[.:])*[^\W\d_]{3,})\w+(?:[.:]\w+){2,}(?<!\.\w\w)(?<!\.com|\.org|\.net|\.gov|\.edu)")
-_LATIN_LIKE = re.compile(rf"(?<![^\W\d_])(?:{'|'.join(_LATIN)})")
-_LETTERS = re.compile(r"[^\W\d_]+")
-_DIGIT = re.compile(r"[\d²³¹]")
-_SENTENCE = re.compile(r"(?<=[.!?…])[»”\")]*\s+")
+_COMMENT = re.compile(r"<!--.*?-->", re.S)
 _BLANK = re.compile(r"\n[^\S\n]*\n")
+_ENDS = ".!?…"
+_CLOSERS = "»”\")"
 
 
 def mark_fields(text: str) -> str:
@@ -105,6 +173,15 @@ def mark_fields(text: str) -> str:
     return text
 
 
+def stem(word: str) -> str:
+    """A word without accents and, where five letters (four before a single one) are left, without its ending."""
+    for e in _ENDINGS:
+        if word.endswith(e) and len(word) - len(e) >= (4 if len(e) == 1 else 5):
+            word = word[: -len(e)]
+            break
+    return "".join(c for c in unicodedata.normalize("NFD", word) if unicodedata.category(c) != "Mn")
+
+
 def _norm(word: str) -> str:
     if word == "<campo>":
         return word
@@ -116,153 +193,162 @@ def _norm(word: str) -> str:
         return "<codigo>" if _CODE.fullmatch(word) else "<clave>"
     if any(c.isdigit() for c in word):
         return "<clave>" if any(c.isalpha() for c in word) and len(word) > 3 else "<0>"
-    if len(word) >= 4 and any(word.startswith(s) for s in _LATIN) and word not in _SPANISH:
+    if len(word) >= 4 and word not in _SPANISH and any(word.startswith(s) for s in _LATIN):
         return "<latín>"
-    return word
+    return stem(word)
 
 
-# fixed values: words that begin like mock Latin
-_SPANISH = frozenset("dolor dolores dolorosa elite temporal temporales temporada temporalmente temporalidad aliquota alícuota nulla fuscamente magnisterio".split())
+class _Words(dict):
+    """Normalised words of a token; a cache that is begun anew when it is large."""
 
+    def __missing__(self, token: str) -> tuple[str, ...]:
+        if len(self) > 500_000:
+            self.clear()
+        low = token.lower()
+        self[token] = value = tuple(map(_norm, (low,) if low.isalpha() else _WORD.findall(low)))
+        return value
 
-@lru_cache(1 << 16)
-def _token(token: str) -> tuple[str, ...]:
-    return tuple(map(_norm, (token,) if token.isalpha() else _WORD.findall(token)))
 
+_TOKENS = _Words()
+COMMON = frozenset(stem(w) for w in _COMMON)
 
-def words(window: str) -> list[str]:
-    """Words of a window; none crosses whitespace, so that tokens are read once."""
-    return [w for t in window.lower().split() for w in _token(t)]
 
+def words(window: str) -> list[str]:
+    """Words of a window; none crosses whitespace, so that a token is normalised once."""
+    return [w for t in window.split() for w in _TOKENS[t]]
 
-def _exemplar_words(text: str) -> list[str]:
-    return [_norm(w) if w[0] != "<" else w for w in re.findall(r"<\w+>|[^\W\d_]+(?:['’-][^\W\d_]+)*", text)]
 
+class Exemplar:
+    """A labelled message as slots: ``must`` and ``may`` hold sets of stems, ``all`` every stem of it."""
 
-INDEXED = [(kind, frozenset(_exemplar_words(t))) for kind, texts in EXEMPLARS.items() for t in texts]
-VOCABULARY = frozenset().union(*(w for _, w in INDEXED))
-#: The exemplar of a code alone; figures among letters are no such code, as misread words and numbers of articles have them.
-_BARE_CODE = {k for k, (_, ws) in enumerate(INDEXED) if ws == {"<codigo>"}}
+    def __init__(self, kind: str, text: str):
+        slots = [(s[0], frozenset(x if x[0] == "<" else stem(x) for x in s.lstrip("!?").split("|")) - COMMON) for s in text.split()]
+        self.kind, self.text = kind, text
+        self.must = [s for c, s in slots if c == "!" and s]
+        self.slots = [s for c, s in slots if c != "?" and s]
+        self.all = frozenset().union(*(s for _, s in slots))
 
 
-def _needed(exemplar: frozenset[str], idf: dict[str, float]) -> set[str]:
-    """Words of an exemplar of which a window must hold one to hold half of its mass: the lighter others together have less."""
-    light, half = 0.0, 0.5 * sum(idf[w] for w in exemplar)
-    out = set(exemplar)
-    for w in sorted(exemplar, key=lambda w: (idf[w], w)):
-        light += idf[w]
-        if light >= half - 1e-9:
-            break
-        out.discard(w)
-    return out
+def indexed(exemplars: dict[str, list[str]]) -> list[Exemplar]:
+    return [Exemplar(kind, t) for kind, texts in exemplars.items() for t in texts]
 
 
-# fixed values: of PRIOR_PARAGRAPHS usual paragraphs of the domain, how many hold the word; they stand in where a table is small
+#: Paragraphs of usual text that are taken to be there beside a table's own, so that a small table weighs words as a large one.
 PRIOR_PARAGRAPHS = 1000
+#: Words of usual legal text and the share of paragraphs that hold them, for the same purpose.
+# fixed values: usual words of the domain and how many of 1,000 paragraphs hold them
 _PRIOR = {
-    "de": 984, "la": 948, "el": 925, "en": 780, "del": 660, "los": 631, "a": 561, "por": 552, "y": 521, "que": 474, "con": 457, "las": 407, "al": 337, "sin": 310, "artículo": 291, "solicitud": 232, "lo": 222, "se": 212, "no": 206,
-    "una": 179, "archivo": 143, "prueba": 129, "este": 129, "título": 123, "favor": 120, "cuando": 117, "para": 112, "si": 96, "providencia": 80, "más": 75, "parte": 72, "recurso": 72, "oficina": 71, "consulta": 66, "está": 65,
-    "petición": 63, "o": 59, "vigencia": 57, "todo": 51, "norma": 50, "base": 48, "técnico": 36,
+    "artículo": 291, "solicitud": 232, "archivo": 143, "prueba": 129, "título": 123, "favor": 120, "providencia": 80, "parte": 72, "recurso": 72, "oficina": 71, "consulta": 66, "petición": 63, "vigencia": 57, "todo": 51, "norma": 50, "base": 48,
+    "documento": 60, "acceso": 30, "servicio": 40, "término": 60, "plazo": 60, "antes": 30, "después": 30, "nuevo": 20, "existe": 20, "sistema": 20, "sección": 20, "número": 40, "fecha": 40, "registro": 60, "falta": 40, "texto": 20, "red": 10,
 }
-#: Exemplars of usual words alone, such as real text has, too: a window must hold them whole, and a single word twice.
-_USUAL = {k for k, (_, ws) in enumerate(INDEXED) if all(w in _PRIOR for w in ws)}
 
 
 class Model:
-    """Inverse frequencies of the exemplars' words among distinct paragraphs, and the inverted index.
+    """Inverse frequencies of the exemplars' stems among distinct paragraphs, and the inverted index.
 
-    No word is left out of retrieval for being frequent; the usual paragraphs are added, so that a small table weighs
-    words as a large one does.
+    No word is left out of retrieval for being frequent; usual paragraphs are added, so that a small table weighs words
+    as a large one does.
     """
 
-    def __init__(self, paragraphs: int, frequency: dict[str, int]):
+    def __init__(self, paragraphs: int, frequency: dict[str, int], exemplars: dict[str, list[str]] | None = None):
+        self.exemplars = indexed(exemplars or EXEMPLARS)
+        vocabulary = frozenset().union(*(e.all for e in self.exemplars))
         n = max(paragraphs, 0) + PRIOR_PARAGRAPHS
-        self.idf = {w: math.log((n + 1) / (frequency.get(w, 0) + _PRIOR.get(w, 0) + 1)) + 0.05 for w in VOCABULARY}
-        for w in ("<0>",):
-            self.idf[w] = 0.05
-        for w in ("<ruta>", "<codigo>"):
-            self.idf[w] = 1.5
-        self.idf["<campo>"] = self.idf["<latín>"] = 8.0
-        usual = sorted(self.idf[w] for w in VOCABULARY)
-        self.other = usual[len(usual) // 2]
-        self.mass = [sum(self.idf[w] for w in ws) for _, ws in INDEXED]
-        needed = [{max(ws, key=lambda w: (self.idf[w], w))} if k in _USUAL else _needed(ws, self.idf) for k, (_, ws) in enumerate(INDEXED)]
+        prior = {stem(w): k for w, k in _PRIOR.items()}
+        self.idf = {w: math.log((n + 1) / (frequency.get(w, 0) + prior.get(w, 0) + 1)) + 0.05 for w in vocabulary}
+        self.idf |= {"<0>": 0.5, "<ruta>": 1.5, "<clave>": 1.5, "<codigo>": 3.0, "<campo>": 8.0, "<latín>": 8.0, "<eco>": 8.0}
+        usual = sorted(self.idf[w] for w in vocabulary)
+        self.other = usual[len(usual) // 2] if usual else 1.0
+        self.needs = [([s for s in e.must], [(s, max(self.idf[w] for w in s)) for s in e.slots]) for e in self.exemplars]
         self.index: dict[str, list[int]] = defaultdict(list)
-        for k, ws in enumerate(needed):
-            for w in ws:
+        for k, e in enumerate(self.exemplars):
+            # The rarest must-slot retrieves: a window that holds the exemplar holds one of its words.
+            key = min(e.must or e.slots, key=lambda s: sum(math.exp(-self.idf[w]) for w in s))
+            for w in key:
                 self.index[w].append(k)
-        self.twice = {w for w, ks in self.index.items() if all(k in _USUAL and len(INDEXED[k][1]) == 1 for k in ks)}
-        self.telling = self.index.keys() - self.twice
-        if any("<codigo>" in needed[k] for k in range(len(INDEXED)) if k not in _BARE_CODE):
-            self.telling.add("<clave>")
-        self.quick = frozenset(max(_LETTERS.findall(w), key=len) for w in self.telling if w[0] != "<")
-
-    def held(self, k: int, tf: Counter) -> bool:
-        ws = INDEXED[k][1]
-        if k in _USUAL:
-            return all(tf[w] >= 1 + (len(ws) == 1) for w in ws)
-        return sum(self.idf[w] for w in ws if w in tf) >= 0.5 * self.mass[k]
-
-    def coverage(self, window: list[str]) -> float:
-        """Share of a window's mass in at most three exemplars of one class that its telling words retrieve."""
+        self.telling = frozenset(self.index)
+
+    def held(self, k: int, found: Collection[str]) -> bool:
+        """Whether words hold all must-slots and enough of the mass of an exemplar; no word serves two must-slots."""
+        must, slots = self.needs[k]
+        for s in must:
+            if s.isdisjoint(found):
+                return False
+        if len(must) > 1 and len({w for s in must for w in s if w in found}) < len(must):
+            return False
+        got = total = 0.0
+        for s, m in slots:
+            total += m
+            if not s.isdisjoint(found):
+                got += m
+        return got >= HELD * total - 1e-9
+
+    def retrieved(self, found: Collection[str]) -> list[int]:
+        """Exemplars that words hold; none that a part of the words holds is left out."""
+        near = {k for w in found if w in self.index for k in self.index[w]}
+        return [k for k in near if self.held(k, found)] if near else []
+
+    def coverage(self, window: list[str], among: Collection[int] | None = None) -> float:
+        """Share of a window's mass in the exemplars of one class that it holds, ``among`` those that its paragraph retrieved."""
         tf = Counter(window)
-        passed = frozenset() if "<codigo>" in tf else _BARE_CODE
-        if self.telling.isdisjoint(tf) and all(tf[w] < 2 for w in self.twice) and "<campo>" not in tf and tf["<latín>"] < 3:
-            return 0.0
-        if "<clave>" in tf:
-            tf["<codigo>"] += tf.pop("<clave>")
-        mass = sum(self.idf.get(w, self.other) * (1 + math.log(k)) for w, k in tf.items())
-        if "<campo>" in tf:
-            return 1.0
-        if not mass:
+        held = self.retrieved(tf) if among is None else [k for k in among if self.held(k, tf)]
+        if not held:
             return 0.0
-        if tf["<latín>"] >= 3:
-            return tf["<latín>"] / len(window)
-        weight = {w: self.idf[w] * (1 + math.log(k)) for w, k in tf.items() if w in self.idf}
-        # An exemplar counts where the window holds half of its own mass, too.
-        found = {k for w in weight if w in self.index for k in self.index[w] if k not in passed and self.held(k, tf)}
-        best = 0.0
-        for kind in {INDEXED[k][0] for k in found}:
-            left, got = dict(weight), 0.0
-            options = [k for k in found if INDEXED[k][0] == kind]
-            for _ in range(TOGETHER):
-                k = max(options, key=lambda k: sum(left.get(w, 0.0) for w in INDEXED[k][1]))
-                gain = sum(left.pop(w, 0.0) for w in INDEXED[k][1])
-                if not gain:
-                    break
-                got += gain
-            best = max(best, got / mass)
-        return best
-
-
-def windows(paragraph: str) -> Iterator[str]:
-    """Passage windows of a paragraph: its sentences, its lines, itself."""
-    flat = " ".join(paragraph.split())
-    parts = _SENTENCE.split(flat)
-    yield from parts
-    if "\n" in paragraph:
-        yield from paragraph.split("\n")
-    if len(parts) > 1 and len(flat) < 400:
-        yield flat
+        weight = {w: self.idf.get(w, self.other) * (1 + math.log(n)) for w, n in tf.items() if w not in COMMON}
+        mass = sum(weight.values())
+        covered: dict[str, set[str]] = defaultdict(set)
+        for k in held:
+            covered[self.exemplars[k].kind] |= self.exemplars[k].all & tf.keys()
+        return max(sum(weight[w] for w in ws) / mass for ws in covered.values())
+
 
+def _echoes(found: list[str]) -> list[str]:
+    """A word of two letters and more that stands three times in a row, or twice and nothing but figures with it, becomes the word of repetition.
 
-def _telling(text: str, model: Model) -> bool:
-    """Whether a text in lower case can hold a word, no mock Latin, that retrieves an exemplar; no text that can is passed over."""
-    if not model.quick.isdisjoint(_LETTERS.findall(text)) or any(text.count(w) > 1 for w in model.twice):
-        return True
-    likes = (("<codigo>", _CODE_LIKE), ("<clave>", _KEY_LIKE), ("<ruta>", _PATH_LIKE), ("<0>", _DIGIT))
-    return any(k in model.telling and like.search(text) for k, like in likes)
+    Fewer than three words of mock Latin are usual words.
+    """
+    if any(map(operator.eq, found, itertools.islice(found, 1, None))):
+        least = 2 if len({w for w in found if w != "<0>"}) == 1 else 3
+        out: list[str] = []
+        for w, run in itertools.groupby(found):
+            n = sum(1 for _ in run)
+            out += ["<eco>"] if n >= least and len(w) > 1 and w[0] != "<" and w not in COMMON else [w] * n
+        found = out
+    if "<latín>" in found and found.count("<latín>") < 3:
+        found = [w for w in found if w != "<latín>"]
+    return found
+
+
+def windows(paragraph: str) -> Iterator[list[str]]:
+    """Passage windows of a paragraph as words: unfilled fields, lines, sentences and the whole, in parts of ``WIDTH`` that overlap by half."""
+    tokens = paragraph.split()
+    found = [_TOKENS[t] for t in tokens]
+    spans = {(0, len(tokens))}
+    start = 0
+    for i, t in enumerate(tokens):
+        if t[-1] in _ENDS or t[-1] in _CLOSERS and t.rstrip(_CLOSERS)[-1:] in _ENDS:
+            spans.add((start, i + 1))
+            start = i + 1
+        if t == "<campo>":
+            spans.add((i, i + 1))
+    spans.add((start, len(tokens)))
+    at = 0
+    if "\n" in paragraph:
+        for line in paragraph.split("\n"):
+            n = len(line.split())
+            spans.add((at, at + n))
+            at += n
+    for a, b in sorted(spans):
+        ws = [w for t in found[a:b] for w in t]
+        for i in range(0, max(len(ws) - WIDTH // 2, 1), WIDTH // 2):
+            yield ws[i : i + WIDTH]
 
 
 def residue(text: str | None, model: Model, coverage: float = COVERAGE) -> list[tuple[int, str, float]]:
     """``(paragraph number, paragraph, coverage)`` of the residue paragraphs of a text."""
     if not text:
         return []
-    marked = mark_fields(text)
-    low = marked.lower()
-    latin = _latin(low)
-    if "<campo>" not in marked and not latin and not _telling(low, model):
-        return []
+    marked = mark_fields(_COMMENT.sub("", text) if "<!--" in text else text)
     out = []
     k = 0
     for raw in _BLANK.split(marked):
@@ -270,56 +356,35 @@ def residue(text: str | None, model: Model, coverage: float = COVERAGE) -> list[
         if not p:
             continue
         k += 1
-        if "<campo>" in p:
-            out.append((k, p, 1.0))
-            continue
-        q = p.lower()
-        latin_here = latin and _latin(q)
-        if not latin_here and not _telling(q, model):
+        found = frozenset(_echoes(words(p)))
+        if model.telling.isdisjoint(found) or not (among := model.retrieved(found)):
             continue
-        best = 0.0
-        for w in windows(q):
-            ws = words(w) if latin_here or _telling(w, model) else ()
-            for i in range(0, max(len(ws) - WIDTH // 2, 1), WIDTH // 2):
-                best = max(best, model.coverage(ws[i : i + WIDTH]) if ws else 0.0)
-            if len(ws) > WIDTH and sum(x == "<latín>" for x in ws) > 0.5 * len(ws):
-                best = 1.0
+        best = max((model.coverage(_echoes(w), among) for w in windows(p)), default=0.0)
         if best >= coverage:
             out.append((k, p, best))
     return out
 
 
-def _latin(low: str) -> bool:
-    return any(s in low for s in _LATIN) and _LATIN_LIKE.search(low) is not None
-
-
-_ORDER = sorted(VOCABULARY)
-_SIGN = {w: chr(0x100 + k) for k, w in enumerate(_ORDER)}
-
-
-def signs(text: str | None) -> Iterator[tuple[int, str]]:
-    """``(id, exemplars' words as one character each)`` of the paragraphs of a text; figures, codes and paths are not in the id."""
-    for p in _BLANK.split(text.lower()) if text else ():
-        if p and not p.isspace():
-            yield xxhash.xxh64_intdigest(" ".join(filter(str.isalpha, p.split()))) - 2**63, "".join(map(_SIGN.__getitem__, VOCABULARY.intersection(_LETTERS.findall(p))))
-
-
-def model_of(counts: dict[str, int]) -> Model:
-    """Model of the counts by sign; the empty sign counts the paragraphs."""
-    return Model(counts.get("", 0), {w: counts.get(_SIGN[w], 0) for w in _ORDER})
+def signs(text: str | None, sign: dict[str, str]) -> Iterator[tuple[int, str]]:
+    """``(id, exemplars' stems as one character each)`` of the paragraphs of a text; figures, codes and paths are not in the id."""
+    for p in _BLANK.split(text) if text else ():
+        if found := {w for t in p.split() for w in _TOKENS[t]}:
+            yield xxhash.xxh64_intdigest(" ".join(filter(str.isalpha, p.lower().split()))) - 2**63, "".join(sign[w] for w in found & sign.keys())
 
 
-def train(rows: DataFrame) -> Model:
+def train(rows: DataFrame, exemplars: dict[str, list[str]] | None = None) -> Model:
     """Frequencies over the distinct paragraphs of all rows of ``(markdown)``, so that residue, however often, counts once.
 
-    A partition sends each of its distinct paragraphs once, as an id and the exemplars' words in it; one row for each of
-    these words reaches the driver.
+    A partition sends each of its distinct paragraphs once, as an id and the exemplars' stems in it; one row for each of
+    these stems reaches the driver.
     """
+    order = sorted(frozenset().union(*(e.all for e in indexed(exemplars or EXEMPLARS))))
+    sign = {w: chr(0x100 + k) for k, w in enumerate(order)}
 
     def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for batch in batches:
-            new = {h: w for text in batch["markdown"] for h, w in signs(text) if h not in seen}
+            new = {h: w for text in batch["markdown"] for h, w in signs(text, sign) if h not in seen}
             seen.update(new)
             yield pd.DataFrame({"h": pd.Series(list(new), dtype="int64"), "w": list(new.values())})
 
@@ -335,19 +400,19 @@ def train(rows: DataFrame) -> Model:
         yield pd.DataFrame(list(counts.items()), columns=["w", "n"])
 
     once = rows.select("markdown").mapInPandas(distinct, "h bigint, w string").repartition("h")
-    total = once.mapInPandas(count, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")).collect()
-    return model_of({r.w: r.n for r in total})
+    counts = {r.w: r.n for r in once.mapInPandas(count, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")).collect()}
+    return Model(counts.get("", 0), {w: counts.get(sign[w], 0) for w in order}, exemplars)
 
 
-def found(rows: DataFrame, model: Model | None = None, coverage: float = COVERAGE) -> DataFrame:
+def found(rows: DataFrame, model: Model | None = None, coverage: float = COVERAGE, exemplars: dict[str, list[str]] | None = None) -> DataFrame:
     """``(texto_id, parrafo, texto, cobertura)``: the residue paragraphs of ``(texto_id, markdown)``.
 
     Null and empty texts have none; repeated rows give repeated results; an empty table gives none. Texts are read
-    whole; the statistics are those of the distinct paragraphs of all rows.
+    whole; the statistics are those of the distinct paragraphs of all rows. ``exemplars`` replaces the labelled ones.
     """
     rows = rows.select("texto_id", "markdown")
     if model is None:
-        model = train(rows)
+        model = train(rows, exemplars)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
