@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamiz.llm.leakage import leaked, question_fields
+from tamiz.llm.leakage import SHORTEST, leaked, question_fields
 from tamiz.session import table
 
 
 def p7_matches(spark: SparkSession, folder: str) -> DataFrame:
-    return leaked(table(spark, folder, "documents"), question_fields(table(spark, folder, "preguntas")))
+    """Passages with at most one word changed, put in or left out; items of six words and more."""
+    return leaked(table(spark, folder, "documents"), question_fields(table(spark, folder, "preguntas")), shortest=SHORTEST)
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
