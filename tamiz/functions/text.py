@@ -10,11 +10,18 @@ ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿÁÀÂÄÃÅÉ
 FOLDED = "aaaaaaeeeeiiiiooooouuuuncyyAAAAAAEEEEIIIIOOOOOUUUUNCY"
 
 # fixed values: words the lexical index leaves out
+INDEX_STOPWORDS = (
+    "a al ante bajo con contra de del desde durante e el en entre hacia hasta la las le les lo los mediante o os para por que se segun sobre su sus tras u un una unas unos y ya este esta estos "
+    "estas ese esa esos esas aquel aquella cual cuales como cuando donde quien quienes cuyo cuya es son sera seran ser fue han ha sido haber hay mas muy tambien otro otra otros otras dicho "
+    "dicha dichos dichas mismo misma"
+).split()
+# fixed values: words that say nothing of a text's content
 STOPWORDS = (
-    "a al algo algun ante antes aqui asi aun bajo bien cabe cada como con contra cual cuando cuyo de del desde donde dos el ella ellas ellos en entre era esa ese eso "
-    "esta este esto estos fue ha hacia han hasta hay la las le les lo los mas me mediante mi mismo muy ni nos o otra otro para pero por porque pues que quien se segun "
-    "ser si sobre son su sus tal tambien tanto te toda todo tras un una uno unos y ya"
+    "a al algo ante con contra cual cuales cuando de del desde donde el ella ellas ello ellos en entre era es esa esas ese eso esos esta estan estar este esto estos fue ha han hay la las le les lo "
+    "los mas me mi muy no nos o otra otro para pero por porque que quien se si sin sobre su sus tambien tiene tienen un una unas uno unos y ya como ser son segun cada asi tal etc"
 ).split()
+# fixed values: prefixes of judgments' numbers, with a hyphen, and those that also stand without one
+COURTS, COURTS_BARE = "su|sl|sc|sp|stc|stl|ac|au|c|t", "su|sl|sc|sp|stc|stl"
 
 
 def fold(c: Column) -> Column:
@@ -94,13 +101,23 @@ def tokens(c: Column) -> Column:
     return F.filter(F.coalesce(found, F.array().cast("array<string>")), lambda x: F.length(x) > 1)
 
 
+#: What index tokens are made by, in turn.
+LEGAL_RULES = [(rf"\b({COURTS_BARE})0{{0,4}}(\d{{2,5}})\b", "$1$2 $2"), (rf"\b({COURTS})\s?-\s?0{{0,4}}(\d{{1,5}})\b", "$1$2 $2"), (r"\b(\d+)[oº°]([^\p{L}\p{N}_]|$)", "$1$2")]
+
+
 def legal_tokens(c: Column) -> Column:
-    """Index tokens: numbers of judgments kept whole and apart (``c-355`` gives ``c355`` and ``355``), ordinals as figures, no stop words."""
+    """Index tokens: numbers of judgments kept whole and apart (``C-355`` and ``SU355`` give ``c355 355``, ``su355 355``), ordinals as figures, no stop words."""
     low = F.lower(fold(c))
-    fused = F.regexp_replace(low, r"\b(c|t|su|a)\s?-\s?(\d{1,4})\b", "$1$2 $2")
-    plain = F.regexp_replace(fused, r"\b(\d+)(?:o|º|°)\b", "$1")
-    found = F.regexp_extract_all(plain, F.lit(r"([\p{L}\p{N}_]+)"), 1)
-    return F.filter(found, lambda x: ~x.isin(*STOPWORDS))
+    for pattern, to in LEGAL_RULES:
+        low = F.regexp_replace(low, pattern, to)
+    found = F.coalesce(F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}_]+)"), 1), F.array().cast("array<string>"))
+    return F.filter(found, lambda x: ~x.isin(*INDEX_STOPWORDS) & (x != "_"))
+
+
+def overlap_tokens(c: Column) -> Column:
+    """Content tokens for measures of overlap: no stop words, at least two characters or a figure."""
+    found = F.coalesce(F.regexp_extract_all(F.lower(fold(c)), F.lit(r"([\p{L}\p{N}_]+)"), 1), F.array().cast("array<string>"))
+    return F.filter(found, lambda x: ~x.isin(*STOPWORDS) & ((F.length(x) > 1) | x.rlike(r"^\d$")))
 
 
 def content_words(c: Column, least: int = 4) -> Column:

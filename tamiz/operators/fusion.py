@@ -17,6 +17,32 @@ def rrf(rankings: list[DataFrame], k: int = 10, c: int = 60) -> DataFrame:
     return fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "row_id", "score", "rank")
 
 
+def fuse_lists(lists: list[DataFrame], k: int = 10, c: int = 60) -> DataFrame:
+    """``(qid, row_id, score, rank)``: final lists fused by reciprocal ranks; ties go to the smaller key as text, whatever list it came from."""
+    union = None
+    for r in lists:
+        part = r.select("qid", "row_id", "rank")
+        union = part if union is None else union.unionByName(part)
+    fused = union.groupBy("qid", "row_id").agg(F.round(F.sum(F.lit(1.0) / (F.lit(c) + F.col("rank"))), 9).alias("score"))
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), F.col("row_id").cast("string"))
+    return fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "row_id", "score", "rank")
+
+
+def _f1(a: Column, b: Column) -> Column:
+    """F1 of two arrays as multisets; zero where they share nothing."""
+    held = lambda xs, w: F.size(F.filter(xs, lambda x: x == w))
+    common = F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, w: acc + F.least(held(a, w), held(b, w)))
+    return F.when(common > 0, 2.0 * common / (F.size(a) + F.size(b))).otherwise(F.lit(0.0))
+
+
+def overlap_f1(a: Column, b: Column) -> Column:
+    """Mean F1 of the unigrams and bigrams of two short texts' tokens; zero where one has none, unigrams alone where one has one."""
+    pairs = lambda ws: F.transform(F.sequence(F.lit(1), F.size(ws) - 1), lambda i: F.concat_ws(" ", F.element_at(ws, i), F.element_at(ws, i + 1)))
+    one = _f1(a, b)
+    two = F.when((F.size(a) > 1) & (F.size(b) > 1), _f1(pairs(a), pairs(b))).otherwise(one)
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.round((one + two) / 2, 6)).otherwise(F.lit(0.0))
+
+
 def collapse(ranking: DataFrame, copies: DataFrame, k: int, over: int = 3) -> DataFrame:
     """Best row of each text: ``copies`` is ``(row_id, hash)``. Of the first ``over * k`` rows each hash stays once; then cut at ``k``."""
     first = ranking.where(F.col("rank") <= over * k).join(copies.select("row_id", "hash"), "row_id")

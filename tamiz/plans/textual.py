@@ -18,7 +18,8 @@ def fold(c: str) -> str:
 
 
 def _texts(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "leer").where("texto is not null").select("doc_id", "texto").distinct()
+    """One row for each document and text; copies are told by a hash, so that a text's bytes are compared nowhere."""
+    return table(s, d, "leer").where("texto is not null").groupBy("doc_id", F.xxhash64("texto")).agg(F.first("texto").alias("texto")).select("doc_id", "texto")
 
 
 def accent_fold(s: SparkSession, d: str) -> DataFrame:
@@ -123,6 +124,19 @@ def five_grams_shared(s: SparkSession, d: str) -> DataFrame:
     return t.where("g is not null").groupBy("g").agg(F.countDistinct("doc_id").alias("n")).where("n >= 20")
 
 
+def legal_sql(c: str) -> str:
+    """Index tokens as a DuckDB list."""
+    t = f"lower({fold(c)})"
+    for pattern, to in T.LEGAL_RULES:
+        t = f"regexp_replace({t}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
+    return rf"list_filter(regexp_extract_all({t}, '[\p{{L}}\p{{N}}_]+'), lambda x: x <> '_' AND x NOT IN ({', '.join(f"'{w}'" for w in T.INDEX_STOPWORDS)}))"
+
+
+def overlap_sql(c: str) -> str:
+    """Content tokens for measures of overlap as a DuckDB list."""
+    return rf"list_filter(regexp_extract_all(lower({fold(c)}), '[\p{{L}}\p{{N}}_]+'), lambda x: (length(x) > 1 OR regexp_matches(x, '^\d$')) AND x NOT IN ({_STOP}))"
+
+
 _T = "t AS (SELECT DISTINCT doc_id, texto FROM leer WHERE texto IS NOT NULL)"
 _WORDS = r"list_filter(regexp_split_to_array({c}, '\s+'), lambda x: x <> '')"
 
@@ -143,7 +157,7 @@ SQL = {
     "strip_struck": rf"WITH {_T} SELECT doc_id, sha1(trim(regexp_replace(regexp_replace(regexp_replace(texto, '(?s)~~.*?(?:~~|$)', ' ', 'g'), '\s+', ' ', 'g'), ' ([.,;:])', '\1', 'g'))) AS hash FROM t WHERE contains(texto, '~~')",
     "word_counts": f"WITH {_T} SELECT doc_id, len({words('texto')}) AS n_words, floor(length(texto) / 3.5)::INT + 1 AS n_tokens, length(texto) AS n_chars FROM t",
     "text_fingerprint": rf"WITH {_T}, h AS (SELECT doc_id, texto, sha1(trim(regexp_replace(lower(texto), '\s+', ' ', 'g'))) AS loose FROM t) SELECT doc_id, sha1(texto) AS exact, loose, CASE WHEN length(texto) >= 3000 THEN loose END AS long_only FROM h",
-    "legal_token_counts": rf"WITH {_T}, k AS (SELECT doc_id, list_filter(regexp_extract_all(regexp_replace(regexp_replace(lower({fold('texto')}), '\b(c|t|su|a)\s?-\s?(\d{{1,4}})\b', '\1\2 \2', 'g'), '\b(\d+)(?:o|º|°)', '\1', 'g'), '[\p{{L}}\p{{N}}_]+'), lambda x: x NOT IN ({_STOP})) AS t FROM t) SELECT doc_id, len(t) AS n, len(list_distinct(t)) AS n_distinct FROM k",
+    "legal_token_counts": f"WITH {_T}, k AS (SELECT doc_id, {legal_sql('texto')} AS t FROM t) SELECT doc_id, len(t) AS n, len(list_distinct(t)) AS n_distinct FROM k",
     "content_words": rf"WITH {_T}, w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower({fold('texto')}), '[\p{{L}}\p{{N}}]+')) AS w FROM t) SELECT w, count(*) AS df FROM w WHERE length(w) >= 4 AND w NOT IN ({_STOP}) GROUP BY w HAVING count(*) >= 5",
     "sentence_split_simple": rf"WITH {_T}, p AS (SELECT doc_id, list_filter(string_split(regexp_replace(texto, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS p FROM t) SELECT doc_id, len(p) AS n, list_max(list_transform(p, lambda x: length(x))) AS longest FROM p",
     "clause_split": rf"WITH {_T}, p AS (SELECT doc_id, list_filter(string_split(regexp_replace(texto, '([;:])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS p FROM t) SELECT doc_id, len(p) AS n, list_max(list_transform(p, lambda x: length(x))) AS longest FROM p",

@@ -38,12 +38,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named)
 
 
-def _written(df: DataFrame) -> tuple[DataFrame, str]:
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared checkpoint folder; what is written there is removed when the program ends."""
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tamiz-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
     _TABLES.append((spark, path))
+    return path
+
+
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
+    spark = df.sparkSession
+    path = shared_path(spark)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
