@@ -85,3 +85,37 @@ def support(cited: Column, evidence: Column) -> Column:
 def coverage(wanted: Column, found: Column) -> Column:
     """Share of the wanted ids that were found, to four places; null where none is wanted."""
     return F.when(F.size(wanted) > 0, F.round(F.size(F.array_intersect(wanted, found)) / F.size(wanted), 4))
+
+
+# fixed values: names of the kinds of norms
+KIND_NAMES = {"ley": "Ley", "decreto": "Decreto", "resolucion": "Resolución", "acuerdo": "Acuerdo", "circular": "Circular", "sentencia": "Sentencia", "auto": "Auto"}
+_ENUMERATED = rf"\bart(?:iculo|iculos|s\.|\.)\s+(\d+[a-z]?(?:(?:\s*,\s*|\s+y\s+)\d+[a-z]?)*)\s+(?:de\s+(?:la|el)\s+|del\s+)({KINDS})\s+(\d+)\s+de\s+(\d{{4}})"
+
+
+def readable(norm: Column) -> Column:
+    """Name of a numbered norm (``ley_472_1998``: ``Ley 472 de 1998``); null unless reading the name gives that norm and no other."""
+    parts = F.split(norm, "_")
+    kind = F.lit(None).cast("string")
+    for k, name in KIND_NAMES.items():
+        kind = F.when(parts[0] == k, F.lit(name)).otherwise(kind)
+    name = F.when(norm.rlike(r"^[a-z]+_\d+_\d{4}$"), F.concat(kind, F.lit(" "), F.get(parts, F.lit(1)), F.lit(" de "), F.get(parts, F.lit(2))))
+    found = bodies(name)
+    return F.when((F.size(found) == 1) & F.array_contains(found, norm), name)
+
+
+def enumerated(c: Column) -> Column:
+    """Distinct ids of the articles that are listed before their numbered norm."""
+    plain = F.coalesce(_plain(c), F.lit(""))
+
+    def one(x: Column) -> Column:
+        body = F.concat_ws("_", F.regexp_extract(x, _ENUMERATED, 2), _zeros(F.regexp_extract(x, _ENUMERATED, 3)), F.regexp_extract(x, _ENUMERATED, 4))
+        return F.transform(F.regexp_extract_all(F.regexp_extract(x, _ENUMERATED, 1), F.lit(r"(\d+[a-z]?)"), 1), lambda a: F.concat(body, F.lit("#art_"), F.upper(a)))
+
+    return F.array_distinct(_aliased(F.flatten(F.transform(F.regexp_extract_all(plain, F.lit(_ENUMERATED), 0), one))))
+
+
+def bare(c: Column) -> Column:
+    """Distinct codes that a text names by the number of their law alone; laws that are no code are not named so."""
+    numbers = F.regexp_extract_all(F.coalesce(_plain(c), F.lit("")), F.lit(r"\bley\s+0*(\d+)"), 1)
+    codes = F.transform(numbers, lambda n: F.concat(F.lit("ley_"), n, F.lit("_")))
+    return F.array_distinct(F.filter(_aliased(codes), lambda x: ~x.startswith("ley_")))

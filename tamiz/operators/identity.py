@@ -34,19 +34,29 @@ def same_keys(records: DataFrame) -> DataFrame:
     return named.join(least, "component").select("doc_id", F.col("least").alias("component")).unionByName(alone)
 
 
-# Preferences among copies, best first: well stored, with a canonical identity, not from elsewhere, rich, short id.
-def preference() -> list[Column]:
+def preference(preferred: str) -> list[tuple[str, Column]]:
+    """What decides among copies, each smaller the better: well stored, with a canonical identity, not from elsewhere, of the preferred host, more articles, more text; then short id, id."""
     return [
-        (F.coalesce(F.col("estado"), F.lit("")) != "ok").asc(), F.col("canonico").isNull().asc(), F.col("origen").isNotNull().asc(), F.desc(F.coalesce("n_articulos_detectados", F.lit(0))),
-        F.desc(F.coalesce("n_caracteres", F.lit(0))), F.length("doc_id").asc(), F.col("doc_id").asc(),
+        ("estado", (F.coalesce(F.col("estado"), F.lit("")) != "ok").cast("int")), ("canonico", F.col("canonico").isNull().cast("int")), ("origen", F.col("origen").isNotNull().cast("int")),
+        ("fuente", (~F.coalesce(F.lower("url").contains(preferred), F.lit(False))).cast("int")), ("articulos", -F.coalesce("n_articulos_detectados", F.lit(0))), ("texto", -F.coalesce("n_caracteres", F.lit(0)).cast("bigint")),
     ]
 
 
-def survivors(records: DataFrame, groups: DataFrame) -> DataFrame:
-    """Adds ``component``, ``place`` (1 for the copy that stays) and ``survivor`` to the records of a group."""
-    w = Window.partitionBy("component").orderBy(*preference())
-    j = records.join(groups, "doc_id").withColumn("place", F.row_number().over(w))
-    return j.withColumn("survivor", F.first("doc_id").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+def survivors(records: DataFrame, groups: DataFrame, preferred: str = "gaceta") -> DataFrame:
+    """Adds ``component``, ``place`` (1 for the copy that stays), ``survivor`` and ``motivo`` to the records of a group.
+
+    ``motivo`` names the first preference that decided against the copy with the shortest id, which one would expect to
+    stay; it is null where that one stayed. The survivor and the expected copy are pre-aggregated minima; places are
+    ranked in a group.
+    """
+    keys = preference(preferred)
+    j = records.join(groups, "doc_id").select("*", F.struct(*[c.alias(n) for n, c in keys], F.length("doc_id").alias("largo"), F.col("doc_id").alias("id")).alias("__p"))
+    best = j.groupBy("component").agg(F.min("__p").alias("__best"), F.min_by("__p", F.struct(F.length("doc_id"), "doc_id")).alias("__shortest"))
+    reason = F.when(F.col("__best.id") == F.col("__shortest.id"), F.lit(None))
+    for n, _ in keys:
+        reason = reason.when(F.col(f"__best.{n}") != F.col(f"__shortest.{n}"), F.lit(n))
+    place = F.row_number().over(Window.partitionBy("component").orderBy("__p"))
+    return j.join(best, "component").select("*", place.alias("place"), F.col("__best.id").alias("survivor"), reason.otherwise(F.lit("id")).alias("motivo")).drop("__p", "__best", "__shortest")
 
 
 def unique_ids(rows: DataFrame, base: str, order: str) -> DataFrame:
@@ -62,8 +72,13 @@ def in_degree(links: DataFrame, key: Column, preferred: Column) -> DataFrame:
     """
     k = links.where("url is not null").withColumn("key", key)
     order = F.struct((~preferred).alias("p"), F.length("url").alias("n"), "url")
-    g = k.groupBy("key").agg(F.count(F.lit(1)).alias("links"), F.countDistinct("doc_id").alias("sources"), F.min_by("url", order).alias("url"), F.slice(F.sort_array(F.collect_set("doc_id")), 1, 10).alias("from_docs"))
-    return g
+    once = k.groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("url"), order).alias("u"), F.min(order).alias("o"))
+    g = once.groupBy("key").agg(F.sum("n").alias("links"), F.count("doc_id").alias("sources"), F.min_by("u.url", "o").alias("url"))
+    # Sources are ranked within hashed parts of a key first, so that a key that a third of all rows hold fills no task.
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(64))
+    near = once.where("doc_id is not null").withColumn("__n", F.row_number().over(Window.partitionBy("key", part).orderBy("doc_id"))).where("__n <= 10")
+    ten = near.withColumn("__n", F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))).where("__n <= 10").groupBy("key").agg(F.sort_array(F.collect_list("doc_id")).alias("from_docs"))
+    return g.join(ten, "key", "left").withColumn("from_docs", F.coalesce("from_docs", F.array().cast("array<string>")))
 
 
 def frontier(candidates: DataFrame, attempted: DataFrame, least: int, most: int | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tamiz.functions import text as T
 from tamiz.functions import urls as U
 from tamiz.operators import identity
 from tamiz.operators.paragraphs import part_of
@@ -48,15 +49,17 @@ def frontier_round(s: SparkSession, d: str) -> DataFrame:
 
 
 def dup_components(s: SparkSession, d: str) -> DataFrame:
+    """Documents of one norm: the same id, the same address or the same long text, directly or through others."""
     r = _fuentes(s, d).where("doc_id is not null").select("doc_id", F.array("norma_id", F.when(F.col("url").isNotNull(), F.concat(F.lit("u:"), U.url_key(F.col("url"))))).alias("keys"))
-    return identity.same_keys(r).select("doc_id", "component")
+    ids = r.select("doc_id").distinct()
+    texts = table(s, d, "leer").where("texto is not null").join(ids, "doc_id", "left_semi").select("doc_id", F.array(F.concat(F.lit("t:"), T.long_text_hash(F.col("texto")))).alias("keys"))
+    return identity.same_keys(r.unionByName(texts)).select("doc_id", "component")
 
 
 def dup_survivor(s: SparkSession, d: str) -> DataFrame:
-    cols = ["doc_id", "norma_id", "estado", "canonico", "origen", "n_articulos_detectados", "n_caracteres", "registrado"]
+    cols = ["doc_id", "url", "estado", "canonico", "origen", "n_articulos_detectados", "n_caracteres", "registrado"]
     once = identity.latest(_fuentes(s, d).select(*cols), "doc_id", F.col("registrado"))
-    groups = once.where("norma_id is not null").select("doc_id", F.col("norma_id").alias("component"))
-    return identity.survivors(once.drop("norma_id"), groups).select("doc_id", "component", "place", "survivor")
+    return identity.survivors(once, dup_components(s, d)).select("doc_id", "component", "place", "survivor", "motivo")
 
 
 def discarded_copies(s: SparkSession, d: str) -> DataFrame:
@@ -131,7 +134,12 @@ def key_sql(c: str) -> str:
 
 
 _LATEST = "l AS (SELECT * FROM fuentes WHERE doc_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY registrado DESC) = 1)"
-_SURVIVOR = _LATEST + ", p AS (SELECT doc_id, norma_id AS component, row_number() OVER w AS place, first_value(doc_id) OVER w AS survivor FROM l WHERE norma_id IS NOT NULL WINDOW w AS (PARTITION BY norma_id ORDER BY (coalesce(estado, '') <> 'ok'), canonico IS NULL, origen IS NOT NULL, coalesce(n_articulos_detectados, 0) DESC, coalesce(n_caracteres, 0) DESC, length(doc_id), doc_id))"
+_COMPONENTS = rf"""e AS (SELECT DISTINCT doc_id, norma_id AS k FROM fuentes WHERE doc_id IS NOT NULL AND norma_id IS NOT NULL UNION SELECT DISTINCT doc_id, 'u:' || {key_sql('url')} FROM fuentes WHERE doc_id IS NOT NULL AND url IS NOT NULL
+UNION SELECT DISTINCT doc_id, 't:' || sha1(trim(regexp_replace(lower(texto), '\s+', ' ', 'g'))) FROM leer WHERE length(texto) >= 500 AND doc_id IN (SELECT doc_id FROM fuentes WHERE doc_id IS NOT NULL)),
+pr AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b USING (k)), rc AS (SELECT doc_id AS x, doc_id AS y FROM fuentes WHERE doc_id IS NOT NULL UNION SELECT rc.x, pr.y FROM rc JOIN pr ON pr.x = rc.y), cp AS (SELECT x AS doc_id, min(y) AS component FROM rc GROUP BY x)"""
+_PREFER = "(coalesce(estado, '') <> 'ok')::INT AS p1, (canonico IS NULL)::INT AS p2, (origen IS NOT NULL)::INT AS p3, (NOT coalesce(contains(lower(url), 'gaceta'), false))::INT AS p4, -coalesce(n_articulos_detectados, 0) AS p5, -coalesce(n_caracteres, 0) AS p6"
+_ORDER = "p1, p2, p3, p4, p5, p6, length(doc_id), doc_id"
+_SURVIVOR = f"RECURSIVE {_COMPONENTS}, {_LATEST}, y AS (SELECT doc_id, component, {_PREFER} FROM l JOIN cp USING (doc_id)), z AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY {_ORDER}) AS place, first_value(doc_id) OVER (PARTITION BY component ORDER BY {_ORDER}) AS survivor, first_value(doc_id) OVER (PARTITION BY component ORDER BY length(doc_id), doc_id) AS expected FROM y), p AS (SELECT z.doc_id, z.component, z.place, z.survivor, CASE WHEN z.survivor = z.expected THEN NULL WHEN s.p1 <> x.p1 THEN 'estado' WHEN s.p2 <> x.p2 THEN 'canonico' WHEN s.p3 <> x.p3 THEN 'origen' WHEN s.p4 <> x.p4 THEN 'fuente' WHEN s.p5 <> x.p5 THEN 'articulos' WHEN s.p6 <> x.p6 THEN 'texto' ELSE 'id' END AS motivo FROM z JOIN y s ON s.doc_id = z.survivor JOIN y x ON x.doc_id = z.expected)"
 _LINKS = f"k AS (SELECT doc_id, url, {key_sql('url')} AS key FROM (SELECT doc_id, unnest(urls_alternativas) AS url FROM fuentes) WHERE url IS NOT NULL)"
 
 QUERIES = {
@@ -146,8 +154,8 @@ SQL = {
     "area_inventory": "SELECT area, count(*) AS docs FROM (SELECT DISTINCT doc_id, unnest(areas) AS area FROM fuentes) GROUP BY area",
     "link_in_degree": f"WITH {_LINKS} SELECT key, count(*) AS links, count(DISTINCT doc_id) AS sources, arg_min(url, (NOT contains(lower(url), 'gaceta'), length(url), url)) AS url, array_to_string(list_sort(list(DISTINCT doc_id))[1:10], ',') AS from_docs FROM k GROUP BY key",
     "frontier_round": f"WITH {_LINKS}, g AS (SELECT key, count(*) AS links, arg_min(url, (length(url), url)) AS url FROM k GROUP BY key HAVING count(*) > 1), a AS (SELECT DISTINCT {key_sql('url')} AS key FROM fuentes WHERE url IS NOT NULL) SELECT key, url, links FROM g WHERE key NOT IN (SELECT key FROM a)",
-    "dup_components": f"WITH RECURSIVE e AS (SELECT DISTINCT doc_id, norma_id AS k FROM fuentes WHERE doc_id IS NOT NULL AND norma_id IS NOT NULL UNION SELECT DISTINCT doc_id, 'u:' || {key_sql('url')} FROM fuentes WHERE doc_id IS NOT NULL AND url IS NOT NULL), p AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b USING (k)), r AS (SELECT doc_id AS x, doc_id AS y FROM fuentes WHERE doc_id IS NOT NULL UNION SELECT r.x, p.y FROM r JOIN p ON p.x = r.y) SELECT x AS doc_id, min(y) AS component FROM r GROUP BY x",
-    "dup_survivor": f"WITH {_SURVIVOR} SELECT doc_id, component, place, survivor FROM p",
+    "dup_components": f"WITH RECURSIVE {_COMPONENTS} SELECT doc_id, component FROM cp",
+    "dup_survivor": f"WITH {_SURVIVOR} SELECT doc_id, component, place, survivor, motivo FROM p",
     "discarded_copies": f"WITH {_SURVIVOR} SELECT survivor, count(*) AS n, array_to_string(list_sort(list(doc_id)), ',') AS discarded FROM p WHERE place > 1 GROUP BY survivor",
     "norm_ids": r"SELECT DISTINCT tipo_norma, numero, anio, lower(tipo_norma) || '_' || CASE WHEN regexp_matches(numero, '^\d+$') THEN coalesce(nullif(ltrim(numero, '0'), ''), '0') ELSE lower(numero) END || '_' || anio AS id FROM fuentes WHERE tipo_norma IS NOT NULL AND numero IS NOT NULL AND anio IS NOT NULL",
     "title_types": r"SELECT coalesce(nullif(regexp_extract(lower(strip_accents(titulo)), '^\s*(ley|decreto|resolucion|acuerdo|circular|sentencia|auto|codigo)\b', 1), ''), 'otro') AS type, tipo_norma, count(*) AS n FROM fuentes GROUP BY ALL",
