@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
 from collections.abc import Callable, Iterator
@@ -13,19 +14,86 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tamiz.session import cut
+
 ITEM = "id bigint, formato string, pregunta string, opciones map<string,string>, area string, tema string, sub_tarea string, complejidad string, legal_basis string, respuesta_correcta string, respuesta_esperada string"
 FRONT = "doc_id string, titulo string, url string, fuente string, tipo_norma string, numero string, anio int, areas array<string>, origen string, estado string"
 TARGET = "doc_id string, url string, tipo string, areas array<string>, peso double"
 
 
+def front_matter(text: str) -> dict[str, object]:
+    """Fields of a header in the common subset of YAML: ``key: value``, quoted values, lists in brackets or as lines with a dash, maps one level deep, comments; JSON is part of it."""
+    text = text.strip()
+    if text.startswith("{"):
+        return json.loads(text)
+    out: dict[str, object] = {}
+    key = None
+    for line in text.split("\n"):
+        bare = line.strip()
+        if not bare or bare.startswith("#"):
+            continue
+        if bare.startswith("- ") and key is not None:
+            held = out.get(key)
+            out[key] = [*(held if isinstance(held, list) else []), _scalar(bare[2:])]
+        elif line[:1].isspace() and key is not None and ":" in bare:
+            held = out.get(key)
+            k, _, v = bare.partition(":")
+            out[key] = {**(held if isinstance(held, dict) else {}), _plain(k): _scalar(v)}
+        elif ":" in bare:
+            k, _, v = bare.partition(":")
+            key = _plain(k)
+            out[key] = _scalar(v)
+    return out
+
+
+def _plain(v: str) -> str:
+    v = v.strip()
+    return v[1:-1] if len(v) > 1 and v[0] == v[-1] and v[0] in "\"'" else v
+
+
+def _scalar(v: str) -> object:
+    v = v.strip()
+    if v.startswith("[") and v.endswith("]"):
+        return [_plain(x) for x in re.findall(r"""\s*("[^"]*"|'[^']*'|[^,\[\]]+)""", v[1:-1]) if x.strip()]
+    if v[:1] not in ("\"", "'"):
+        v = re.sub(r"\s+#.*$", "", v)
+    v = _plain(v)
+    return None if v in ("", "null", "~") else v
+
+
+_TEXTS = [f.split()[0] for f in FRONT.split(", ") if f.endswith(" string")]
+
+
 def markdown_documents(spark: SparkSession, path: str) -> DataFrame:
-    """``(doc_id, meta, cuerpo, path)`` of Markdown files with front matter; the file's name stands in for a missing id."""
+    """``(doc_id, meta, cuerpo, path)`` of Markdown files with front matter; the file's name stands in for a missing id.
+
+    The header is YAML or JSON. The body is cleaned line by line; broken lines are joined only where the text comes from
+    pages (a judgment, or pages among ``formato_origen``). A file without a header, or with a broken one, has no meta.
+    """
     files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    front = F.regexp_extract("value", r"(?s)\A---\n(.*?)\n---\n?", 1)
-    meta = F.from_json(F.when(F.length(front) > 0, front), FRONT)
-    body = F.regexp_replace("value", r"(?s)\A---\n.*?\n---\n?", "")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for value, where in zip(batch["value"], batch["path"]):
+                m = re.match(r"---[^\S\n]*\n(.*?)\n---[^\S\n]*(?:\n|\Z)", value or "", re.S)
+                try:
+                    meta = front_matter(m.group(1)) if m else None
+                except ValueError:
+                    meta = None
+                row = None
+                if meta:
+                    year = str(meta.get("anio") or "")
+                    areas = meta.get("areas")
+                    row = {k: None if meta.get(k) is None else str(meta[k]) for k in _TEXTS} | {"anio": int(year) if year.isdigit() else None, "areas": None if areas is None else [str(x) for x in (areas if isinstance(areas, list) else [areas])]}
+                kind = f"{(meta or {}).get('tipo_norma')} {(meta or {}).get('formato_origen')}".lower()
+                out.append((row, (value or "")[m.end() :] if m else value or "", "sentencia" in kind or "pdf" in kind, where))
+            yield pd.DataFrame(out, columns=["meta", "cuerpo", "paginas", "path"])
+
+    read = files.mapInPandas(run, f"meta struct<{FRONT.replace(' string', ':string').replace(' int', ':int').replace(' array', ':array')}>, cuerpo string, paginas boolean, path string")
+    joined = F.when(F.col("paginas"), F.regexp_replace("cuerpo", r"(?<![.:;?!\n])\n(?=[a-záéíóúñü])", " ")).otherwise(F.col("cuerpo"))
     stem = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]+)?$", 1)
-    return files.withColumn("meta", meta).select(F.coalesce("meta.doc_id", stem).alias("doc_id"), "meta", body.alias("cuerpo"), "path")
+    return read.select(F.coalesce("meta.doc_id", stem).alias("doc_id"), "meta", joined.alias("cuerpo"), "path")
 
 
 def split_parts(docs: DataFrame, text: str = "cuerpo") -> DataFrame:
@@ -38,6 +106,49 @@ def split_parts(docs: DataFrame, text: str = "cuerpo") -> DataFrame:
     return cut.withColumn("inicio", F.coalesce(F.sum(F.length("texto") + 2).over(before), F.lit(0)).cast("int"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(value, n)``: lines of text files with what orders them as they stand, by file, then by block, then within the block.
+
+    Tasks take blocks in any order and several at a time; within a block lines are read in turn, so their running number
+    is in order there and nowhere else.
+    """
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(path).select("value", at.alias("n"))
+
+
+def aliases(spark: SparkSession, path: str) -> DataFrame:
+    """``(seccion, clave, valor)`` of an alias file with one map or list for each section; lists have their places as keys."""
+    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())  # one small file of settings
+    rows = []
+    for section, held in front_matter(text).items():
+        pairs = held.items() if isinstance(held, dict) else enumerate(held if isinstance(held, list) else [held])
+        rows += [(section, str(k), None if v is None else str(v)) for k, v in pairs]
+    return spark.createDataFrame(rows, "seccion string, clave string, valor string")
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Records of a manifest (one JSON array), the last of each ``doc_id``."""
+    raw = spark.read.schema(FRONT).json(path, multiLine=True).withColumn("__n", F.monotonically_increasing_id())
+    return raw.where("doc_id is not null").groupBy("doc_id").agg(F.max_by(F.struct(*[c for c in raw.columns if c not in ("doc_id", "__n")]), "__n").alias("r")).select("doc_id", "r.*")
+
+
+def page_chains(pages: DataFrame, longest: int = 300) -> DataFrame:
+    """``(page, head, place)`` of ``(page, next, base)``: pages that follow one another within one base document, by pointer doubling.
+
+    A link to another base ends the chain; pages of a cycle, and those more than ``longest`` behind their head, have no
+    row. The number of rounds is the logarithm of ``longest``; every round joins the pages once with themselves.
+    """
+    known = pages.where("page is not null").select("page", "next", "base")
+    back = known.join(known.select(F.col("page").alias("next"), F.col("base").alias("nbase")), "next").where("base = nbase").groupBy("next").agg(F.min("page").alias("prev")).withColumnRenamed("next", "page")
+    state = cut(known.select("page").distinct().join(back, "page", "left").select("page", F.coalesce("prev", "page").alias("up"), F.col("prev").isNotNull().cast("int").alias("steps"), F.col("prev").isNull().alias("done")))
+    span = 1
+    while span < longest:
+        up = state.select(F.col("page").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("s2"), F.col("done").alias("d2"))
+        state = cut(state.join(up, "up").select("page", F.when(F.col("done"), F.col("up")).otherwise(F.col("up2")).alias("up"), F.when(F.col("done"), F.col("steps")).otherwise(F.col("steps") + F.col("s2")).alias("steps"), (F.col("done") | F.col("d2")).alias("done")))
+        span *= 2
+    return state.where(F.col("done") & (F.col("steps") < longest)).select("page", F.col("up").alias("head"), F.col("steps").alias("place"))
+
+
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a JSON-lines file; blank lines are none; a line cut off is kept in ``_corrupt_record``."""
     return spark.read.schema(schema + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path)
@@ -45,7 +156,7 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def checkpoint(spark: SparkSession, path: str, schema: str, key: str = "id") -> DataFrame:
     """The last whole line of each key of an append-only JSON-lines file."""
-    lines = spark.read.text(path).withColumn("__n", F.monotonically_increasing_id()).withColumn("r", F.from_json("value", schema)).where(F.col(f"r.{key}").isNotNull())
+    lines = numbered_lines(spark, path).withColumnRenamed("n", "__n").withColumn("r", F.from_json("value", schema)).where(F.col(f"r.{key}").isNotNull())
     whole = lines.where(F.col("value").rlike(r"\}\s*$"))
     w = Window.partitionBy(F.col(f"r.{key}")).orderBy(F.desc("__n"))
     return whole.withColumn("__k", F.row_number().over(w)).where("__k = 1").select("r.*")
@@ -62,7 +173,7 @@ def bank(spark: SparkSession, path: str, archived: bool = False) -> DataFrame:
 
 def link_list(spark: SparkSession, path: str) -> DataFrame:
     """``(n, url)``: addresses of a list, comments behind `` #`` dropped, first of each kept; anything else raises."""
-    lines = spark.read.text(path).withColumn("n", F.monotonically_increasing_id())
+    lines = numbered_lines(spark, path)
     url = F.trim(F.regexp_replace("value", r"(^|\s)#.*$", ""))
     rows = lines.select("n", url.alias("url")).where("url != ''")
     checked = F.when(F.col("url").rlike("^https?://"), F.col("url")).otherwise(F.raise_error(F.concat(F.lit("no address: "), "url")))
@@ -102,6 +213,16 @@ def sniff(content: Column) -> Column:
     return F.when(head.startswith("25504446"), "pdf").when(head.startswith("504B0304"), "docx").when(head.startswith("D0CF11E0"), "doc").otherwise("html")
 
 
+def mended(text: str) -> str:
+    """Text whose UTF-8 bytes had been read with Windows-1252 put right, where all of it fits; else the text as it is."""
+    if not re.search("[ÃÂâ][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ¡-¿]", text):
+        return text
+    try:
+        return text.encode("cp1252").decode("utf-8")
+    except UnicodeError:
+        return text
+
+
 @F.pandas_udf(StringType())
 def decoded(content: pd.Series, content_type: pd.Series) -> pd.Series:
     """Text of bytes by the announced encoding, that of a ``meta`` tag, UTF-8 where it fits, else Windows-1252."""
@@ -114,10 +235,10 @@ def decoded(content: pd.Series, content_type: pd.Series) -> pd.Series:
         for n in [*names, "utf-8"]:
             n = "cp1252" if n.lower() in ("iso-8859-1", "latin-1", "latin1") else n
             try:
-                return b.decode(n)
+                return mended(b.decode(n))
             except (UnicodeDecodeError, LookupError):
                 continue
-        return b.decode("cp1252", "replace")
+        return mended(b.decode("cp1252", "replace"))
 
     return pd.Series([one(b, k) for b, k in zip(content, content_type)])
 

@@ -107,3 +107,56 @@ def test_streams(spark, data, tmp_path):
     q = incremental.event_windows(incremental.once(s), late=None).writeStream.format("memory").queryName("w").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("w").count() > 0
+
+
+def test_yaml_header(spark, tmp_path):
+    (tmp_path / "a.md").write_text('---\ndoc_id: ley_1\ntitulo: "Ley 1: de pruebas"\nanio: 1990  # año\nareas:\n  - civil\n  - penal\ntipo_norma: sentencia\nurl: https://x/a#b\norigen:\n---\nUna línea\npartida.\nOtra.\n')
+    (tmp_path / "b.md").write_text("---\nareas: [civil, 'penal, militar']\nfuente: X\n---\nUna línea\npartida.")
+    (tmp_path / "c.md").write_text("---\n{roto\n---\ncuerpo")
+    got = {r.doc_id: r for r in readers.markdown_documents(spark, str(tmp_path)).collect()}
+    m = got["ley_1"].meta
+    assert (m.titulo, m.anio, m.areas, m.url, m.origen) == ("Ley 1: de pruebas", 1990, ["civil", "penal"], "https://x/a#b", None) and got["ley_1"].cuerpo == "Una línea partida.\nOtra.\n"
+    assert got["b"].meta.areas == ["civil", "penal, militar"] and got["b"].cuerpo == "Una línea\npartida." and got["c"].meta is None and got["c"].cuerpo == "cuerpo"
+
+
+def test_last_line_over_several_files(spark, tmp_path):
+    (tmp_path / "c").mkdir()
+    for n in range(5):
+        (tmp_path / "c" / f"p{n}.jsonl").write_text("".join(f'{{"id": {k}, "v": "{n}-{k}"}}\n' for k in range(n, 8 + n)) + ("x" * 3000 * (5 - n)) + "\n")
+    got = {r.id: r.v for r in readers.checkpoint(spark, str(tmp_path / "c"), "id bigint, v string").collect()}
+    assert got == {k: f"{min(k, 4)}-{k}" for k in range(12)}
+
+
+def test_aliases_and_manifest(spark, tmp_path):
+    (tmp_path / "a.yaml").write_text("codigos:\n  codigo_civil: código civil\nalias_numero:\n  ley_599: codigo_penal\nextra: [uno, dos]\n")
+    rows = {(r.seccion, r.clave, r.valor) for r in readers.aliases(spark, str(tmp_path / "a.yaml")).collect()}
+    assert rows == {("codigos", "codigo_civil", "código civil"), ("alias_numero", "ley_599", "codigo_penal"), ("extra", "0", "uno"), ("extra", "1", "dos")}
+    (tmp_path / "m.json").write_text(json.dumps([{"doc_id": "a", "estado": "error"}, {"doc_id": "a", "estado": "ok"}, {"doc_id": None}]))
+    assert [(r.doc_id, r.estado) for r in readers.manifest(spark, str(tmp_path / "m.json")).collect()] == [("a", "ok")]
+
+
+def test_page_chains(spark):
+    rows = [("a1", "a2", "a"), ("a2", "a3", "a"), ("a3", None, "a"), ("b1", "a1", "b"), ("c1", "c2", "c"), ("c2", "c1", "c"), ("d1", "d1", "d"), (None, "a1", "a")] + [(f"e{k}", f"e{k + 1}", "e") for k in range(310)]
+    got = {r.page: (r.head, r.place) for r in readers.page_chains(spark.createDataFrame(rows, "page string, next string, base string")).collect()}
+    assert got["a3"] == ("a1", 2) and got["b1"] == ("b1", 0) and not {"c1", "c2", "d1"} & got.keys() and got["e299"] == ("e0", 299) and "e300" not in got
+
+
+def test_texts_cache_and_items(spark, tmp_path):
+    p = str(tmp_path / "t")
+    df = spark.createDataFrame([("a", "uno\n\ndos"), ("b", "tres"), ("c", None)], "doc_id string, texto string")
+    sinks.write_texts(df, p)
+    held = {r.doc_id: r.value for r in spark.read.option("wholetext", True).text(p).collect()}
+    assert held == {"a": "uno\n\ndos\n", "b": "tres\n"}
+    assert sinks.retire_texts(df.where("doc_id = 'a'").select("doc_id"), p) == ["b"] and [r.doc_id for r in spark.read.option("wholetext", True).text(p).collect()] == ["a"]
+    one = spark.range(3)
+    assert sinks.cached(one, str(tmp_path / "k"), "f1").count() == 3 and sinks.cached(spark.range(9), str(tmp_path / "k"), "f1").count() == 3 and sinks.cached(spark.range(9), str(tmp_path / "k"), "f2").count() == 9
+    work = lambda x: x.select("id", (F.col("id") * 2).alias("v"))
+    assert [sinks.append_items(spark.range(n), str(tmp_path / "i"), work, "id bigint, v bigint") for n in (3, 5, 5)] == [3, 2, 0]
+    assert sorted(r.v for r in spark.read.json(str(tmp_path / "i")).collect()) == [0, 2, 4, 6, 8]
+    for k in ("x", "y"):
+        sinks.append_events(spark.createDataFrame([(k, "d")], "tipo string, detalle string"), str(tmp_path / "e"))
+    assert sorted(r.tipo for r in spark.read.json(str(tmp_path / "e")).collect()) == ["x", "y"]
+
+
+def test_mended_text():
+    assert readers.mended("secciÃ³n") == "sección" and readers.mended("sección Ã") == "sección Ã" and readers.mended("año") == "año"
