@@ -46,10 +46,12 @@ def survivors(records: DataFrame, groups: DataFrame, preferred: str = "gaceta")
     """Adds ``component``, ``place`` (1 for the copy that stays), ``survivor`` and ``motivo`` to the records of a group.
 
     ``motivo`` names the first preference that decided against the copy with the shortest id, which one would expect to
-    stay; it is null where that one stayed. The survivor and the expected copy are pre-aggregated minima; places are
+    stay; it is null where that one stayed. Records without addresses are all of no preferred host. The survivor and the expected copy are pre-aggregated minima; places are
     ranked in a group.
     """
     keys = preference(preferred)
+    if "url" not in records.columns:
+        records = records.withColumn("url", F.lit(None).cast("string"))
     j = records.join(groups, "doc_id").select("*", F.struct(*[c.alias(n) for n, c in keys], F.length("doc_id").alias("largo"), F.col("doc_id").alias("id")).alias("__p"))
     best = j.groupBy("component").agg(F.min("__p").alias("__best"), F.min_by("__p", F.struct(F.length("doc_id"), "doc_id")).alias("__shortest"))
     reason = F.when(F.col("__best.id") == F.col("__shortest.id"), F.lit(None))

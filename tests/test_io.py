@@ -145,9 +145,9 @@ def test_texts_cache_and_items(spark, tmp_path):
     p = str(tmp_path / "t")
     df = spark.createDataFrame([("a", "uno\n\ndos"), ("b", "tres"), ("c", None)], "doc_id string, texto string")
     sinks.write_texts(df, p)
-    held = {r.doc_id: r.value for r in spark.read.option("wholetext", True).text(p).collect()}
+    held = {r.doc_id: r.value for r in spark.read.text(p, wholetext=True).collect()}
     assert held == {"a": "uno\n\ndos\n", "b": "tres\n"}
-    assert sinks.retire_texts(df.where("doc_id = 'a'").select("doc_id"), p) == ["b"] and [r.doc_id for r in spark.read.option("wholetext", True).text(p).collect()] == ["a"]
+    assert sinks.retire_texts(df.where("doc_id = 'a'").select("doc_id"), p) == ["b"] and [r.doc_id for r in spark.read.text(p, wholetext=True).collect()] == ["a"]
     one = spark.range(3)
     assert sinks.cached(one, str(tmp_path / "k"), "f1").count() == 3 and sinks.cached(spark.range(9), str(tmp_path / "k"), "f1").count() == 3 and sinks.cached(spark.range(9), str(tmp_path / "k"), "f2").count() == 9
     work = lambda x: x.select("id", (F.col("id") * 2).alias("v"))
