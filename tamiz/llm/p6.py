@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamiz.llm.packing import pack, token_pieces
+from tamiz.llm.packing import fill, pack, token_pieces
 from tamiz.session import table
 
 
@@ -13,5 +13,10 @@ def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
     return pack(token_pieces(table(spark, folder, "documents")))
 
 
-QUERIES = {"p6_containers": p6_containers}
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """``(contenedores, minimo, tokens, llenado)``: containers used, the fewest that could hold all tokens, and the share of their room in use."""
+    return fill(p6_containers(spark, folder))
+
+
+QUERIES = {"p6_containers": p6_containers, "p6_fill": p6_fill}
 SQL: dict[str, str] = {}

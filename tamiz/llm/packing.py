@@ -138,3 +138,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, top_up: bool = True) -> Da
 
     placed = ranked.withColumn("contenedor", container("tokens", "__rank"))
     return placed.select(*names, F.when(F.col("contenedor") >= 0, F.col("contenedor")).alias("contenedor"))
+
+
+def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row ``(contenedores, minimo, tokens, llenado)`` of ``(tokens, contenedor)``; an empty table uses no container and fills nothing.
+
+    Containers are pre-aggregated; only their number and sum reach the last task.
+    """
+    each = packed.where("contenedor is not null").groupBy("contenedor").agg(F.sum("tokens").alias("t"))
+    g = each.agg(F.count(F.lit(1)).alias("contenedores"), F.coalesce(F.sum("t"), F.lit(0)).alias("tokens"))
+    share = F.when(F.col("contenedores") > 0, F.round(F.col("tokens") / (F.col("contenedores") * capacity), 4))
+    return g.select("contenedores", F.ceil(F.col("tokens") / capacity).alias("minimo"), "tokens", share.alias("llenado"))

@@ -140,7 +140,7 @@ def split_spans(spans: DataFrame, overlap: int = OVERLAP) -> DataFrame:
     ``tramo`` is the span's text, ``inicio`` its offset, ``limite`` its limit of words and ``fines`` the offsets where
     paragraphs end (null: at blank lines). Every piece has at most ``limite`` words, consecutive pieces share
     ``overlap`` words, and the pieces cover the whole span. A span within its limit is one piece; an empty one is one
-    piece of no words; rows with a null id, text or limit are left out; ``limite`` must exceed ``overlap``. Spans are
+    piece of no words; rows with a null id, text or limit are left out; a ``limite`` that does not exceed ``overlap`` raises. Spans are
     independent of one another, so a document with any share of all spans is spread over tasks.
     """
 
@@ -148,7 +148,7 @@ def split_spans(spans: DataFrame, overlap: int = OVERLAP) -> DataFrame:
         for batch in batches:
             yield _cut_batch(batch, overlap)
 
-    ready = spans.where("tramo_id is not null and tramo is not null and limite is not null").select("tramo_id", F.coalesce("inicio", F.lit(0)).cast("int").alias("inicio"), F.greatest(F.col("limite"), F.lit(overlap + 1)).cast("int").alias("limite"), "tramo", "fines")
+    ready = spans.where("tramo_id is not null and tramo is not null and limite is not null").select("tramo_id", F.coalesce("inicio", F.lit(0)).cast("int").alias("inicio"), F.when(F.col("limite") > overlap, F.col("limite")).otherwise(F.raise_error(F.lit(f"a limit must exceed the overlap of {overlap} words")).cast("int")).cast("int").alias("limite"), "tramo", "fines")
     return ready.mapInPandas(run, "tramo_id bigint, k int, inicio int, fin int, palabras int, palabras_tramo int")
 
 

@@ -54,3 +54,9 @@ def test_texts(spark):
     assert all(a.hasta == b.desde for a, b in zip(long, long[1:])) and all(r.tokens <= 4096 for r in long) and long[0].tokens == 4096
     assert by[2][0].contenedor is None
     assert P.pack(P.token_pieces(df.where("false"))).count() == 0
+
+
+def test_fill(spark):
+    rows = spark.createDataFrame([(0, 4000), (0, 96), (1, 2048), (None, 0)], "contenedor bigint, tokens int")
+    assert tuple(P.fill(rows).first()) == (2, 2, 6144, 0.75)
+    assert tuple(P.fill(rows.where("false")).first()) == (0, 0, 0, None)

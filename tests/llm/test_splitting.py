@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -62,3 +63,9 @@ def test_edges(spark):
 
 def test_words_across_strikes():
     assert words_of("foo~~x y~~bar baz ~~q")[0] == ["foobar", "baz"]
+
+
+def test_limit_within_the_overlap_raises(spark):
+    rows = spark.createDataFrame([(1, 0, 30, "uno dos tres", None)], "tramo_id bigint, inicio int, limite int, tramo string, fines array<int>")
+    with pytest.raises(Exception, match="must exceed"):
+        split_spans(rows).collect()
