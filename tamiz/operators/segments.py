@@ -155,3 +155,36 @@ def judgment_sections(texts: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["doc_id", "seccion", "inicio", "fin"])
 
     return texts.where("texto is not null").select("doc_id", "texto").mapInPandas(run, "doc_id string, seccion string, inicio int, fin int")
+
+
+# fixed values: headers of a judgment's decision and of dissents, the line that names its author, names that follow it
+DECISION = r"^(?:[IVXL]+\.\s*)?(?:DECISI[ÓO]N|R\s?E\s?S\s?U\s?E\s?L\s?V\s?E)\s*[.:]?$"
+DISSENT = r"^(?i)(?:CON\s+)?(?:SALVAMENTO|ACLARACI[ÓO]N)\s+(?:PARCIAL\s+)?DE\s+VOTO"
+AUTHOR, DOCTOR = r"^(?i)Magistrad[oa]s?\s+Ponentes?\s*:?\s*(.*)$", r"^Dra?\.\s+(.+)$"
+
+
+def _positions(texts: DataFrame) -> DataFrame:
+    """``(doc_id, k, b)``: blocks between blank lines, numbered."""
+    return texts.where("texto is not null").select("doc_id", F.posexplode(F.filter(F.transform(F.split("texto", r"\n\s*\n"), F.trim), lambda x: x != "")).alias("k", "b"))
+
+
+def decision_sections(texts: DataFrame) -> DataFrame:
+    """``(doc_id, seccion, desde, hasta)`` in blocks: body, decision from its first header, dissents from the first one after it; empty ones have no row."""
+    b = _positions(texts)
+    ends = b.groupBy("doc_id").agg((F.max("k") + 1).alias("n"), F.min(F.when(F.col("b").rlike(DECISION), F.col("k"))).alias("d"))
+    first = b.join(ends, "doc_id").where(F.col("b").rlike(DISSENT) & (F.col("k") >= F.col("d"))).groupBy("doc_id").agg(F.min("k").alias("s"))
+    j = ends.join(first, "doc_id", "left")
+    parts = F.array(F.struct(F.lit("cuerpo").alias("seccion"), F.lit(0).alias("desde"), F.coalesce("d", "n").alias("hasta")), F.struct(F.lit("resuelve").alias("seccion"), F.col("d").alias("desde"), F.coalesce("s", "n").alias("hasta")), F.struct(F.lit("salvamentos").alias("seccion"), F.col("s").alias("desde"), F.col("n").alias("hasta")))
+    return j.select("doc_id", F.explode(parts).alias("x")).select("doc_id", "x.*").where("desde is not null and desde < hasta")
+
+
+def authors(texts: DataFrame, near: int = 4) -> DataFrame:
+    """``(doc_id, k, nombre)``: who wrote a judgment, named on the author's line or on the lines right behind it, at most ``near`` and none between them."""
+    own, doctor = F.regexp_extract("b", AUTHOR, 1), F.col("b").rlike(DOCTOR)
+    w = Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    b = _positions(texts).withColumn("is", F.col("b").rlike(AUTHOR))
+    run = b.withColumn("last", F.max(F.when(F.col("is"), F.col("k"))).over(w)).withColumn("other", F.sum((~F.col("is") & ~doctor).cast("int")).over(w))
+    base = run.where("is").select("doc_id", F.col("k").alias("last"), F.col("other").alias("before"))
+    behind = run.where(doctor & ~F.col("is")).join(base, ["doc_id", "last"]).where((F.col("k") - F.col("last") <= near) & (F.col("other") == F.col("before")))
+    named = run.where(F.col("is") & (F.trim(own) != "")).select("doc_id", "k", F.trim(own).alias("nombre"))
+    return named.unionByName(behind.select("doc_id", "k", F.initcap(F.trim(F.regexp_replace(F.regexp_extract("b", DOCTOR, 1), r"\s+", " "))).alias("nombre")))

@@ -67,6 +67,8 @@ def uncited_sentences(s: SparkSession, d: str) -> DataFrame:
 _LOW = rf"trim(regexp_replace(lower({fold('pregunta')}), '\s+', ' ', 'g'))"
 QUERIES = {"query_rows": query_rows, "parsed_options": parsed_options, "option_kinds": option_kinds, "keyword_areas": keyword_areas, "evidence_completion": evidence_completion, "passage_blocks": passage_blocks, "copies_among": copies_among, "uncited_sentences": uncited_sentences}
 SQL = {
+    "option_kinds": f"WITH o AS (SELECT unnest(map_values(opciones)) AS o FROM preguntas WHERE opciones IS NOT NULL), k AS (SELECT lower({fold('o')}) AS low, list_distinct(regexp_extract_all(o, '\\b([A-F])\\b', 1)) AS l, len(list_filter(regexp_split_to_array(o, '\\s+'), lambda x: x <> '')) AS w FROM o) SELECT CASE WHEN regexp_matches(low, 'todas las anteriores|all of the above') THEN 'all' WHEN regexp_matches(low, 'ninguna de las anteriores|none of the above') THEN 'none' WHEN len(l) >= 2 AND regexp_matches(low, '\\b(y|and|e)\\b') AND w <= 8 THEN 'combination' ELSE 'simple' END AS kind, count(*) AS n FROM k GROUP BY 1",
+    "uncited_sentences": f"WITH p AS (SELECT id, {bodies_sql('respuesta_esperada')} AS c, list_filter(string_split(regexp_replace(respuesta_esperada, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM preguntas WHERE respuesta_esperada IS NOT NULL), u AS (SELECT id, c, unnest(s) AS x, generate_subscripts(s, 1) AS k FROM p), f AS (SELECT id, string_agg(x, ' ' ORDER BY k) AS t FROM u WHERE len(list_intersect({bodies_sql('x')}, c)) = 0 GROUP BY id) SELECT p.id, length(coalesce(t, '')) AS \"left\", len(c) AS n_cited FROM p LEFT JOIN f USING (id)",
     "query_rows": "SELECT id AS qid, 'base' AS kind, NULL AS opcion, md5(concat_ws(chr(10), pregunta, array_to_string([e.value FOR e IN list_sort(map_entries(opciones))], chr(10)))) AS hash FROM preguntas UNION ALL SELECT id, 'opcion', e.key, md5(concat_ws(chr(10), pregunta, e.value)) FROM (SELECT id, pregunta, unnest(map_entries(opciones)) AS e FROM preguntas WHERE opciones IS NOT NULL)",
     "parsed_options": "SELECT id, e.key AS letter, trim(e.value) AS option FROM (SELECT id, unnest(map_entries(opciones)) AS e FROM preguntas WHERE opciones IS NOT NULL)",
     "keyword_areas": "WITH p AS (SELECT id, " + _LOW + " AS q FROM preguntas), s AS (SELECT id, [" + ", ".join(f"(-({' + '.join(f'contains(q, {chr(39)}{k}{chr(39)})::INT' for k in ks)}), {i}, '{a}')" for i, (a, ks) in enumerate(AREAS)) + "] AS x FROM p) SELECT id, coalesce(nullif(array_to_string([e[3] FOR e IN list_sort(list_filter(x, lambda e: e[1] < 0))[1:3]], ','), ''), 'general') AS areas FROM s",
