@@ -131,6 +131,12 @@ def ngrams(ws: Column, n: int, sep: str = " ") -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(ws, i, F.lit(n)), sep))
 
 
+def ngram_hashes(ws: Column, n: int) -> Column:
+    """64-bit hashes of the runs of ``n`` consecutive elements, in order: what is exploded and shuffled in place of the runs."""
+    starts = F.when(F.size(ws) >= n, F.sequence(F.lit(1), F.size(ws) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(F.slice(ws, i, F.lit(n))))
+
+
 def simple_sentences(c: Column) -> Column:
     """Parts of a text after ``.``, ``!`` or ``?`` and white space; quick and approximate."""
     return F.filter(F.split(F.coalesce(c, F.lit("")), r"(?<=[.!?])\s+"), lambda x: x != "")

@@ -76,8 +76,9 @@ def direct_articles(s: SparkSession, d: str) -> DataFrame:
 
 def ngram_leakage(s: SparkSession, d: str) -> DataFrame:
     """Questions and documents that share runs of twelve words: how many distinct ones."""
-    grams = lambda df, c, key: df.select(key, T.tokens(F.col(c)).alias("t")).select(key, F.explode_outer(F.array_distinct(T.ngrams(F.col("t"), 12))).alias("g")).where("g is not null")
+    grams = lambda df, c, key: df.select(key, T.tokens(F.col(c)).alias("t")).select(key, F.explode_outer(F.array_distinct(T.ngram_hashes(F.col("t"), 12))).alias("g")).where("g is not null")
     q = grams(_items(s, d).select("id", "pregunta"), "pregunta", "id")
+    # The questions' runs are few; joined before anything is shuffled, they let only runs of theirs through.
     docs = grams(table(s, d, "documents").select("doc_id", "text"), "text", "doc_id").join(q.select("g").distinct(), "g", "left_semi")
     return docs.join(q, "g").groupBy("id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
 
