@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamiz.operators.lexical import ranked
+from tamiz.session import cut
 
 #: Folders that postings are spread over; a search reads those of its terms alone.
 BUCKETS = 64
@@ -28,7 +29,8 @@ def save_lexical(rows: DataFrame, tokens: Column, path: str) -> None:
     stand in one folder per bucket. Rows without tokens count in the statistics and have no postings.
     """
     spark = rows.sparkSession
-    toks = rows.where("row_id is not null").select("row_id", tokens.alias("toks")).select("row_id", "toks", F.size("toks").alias("dl"))
+    # Written once: postings are sampled for their ranges and written, and lengths are read, all from the same tokens.
+    toks = cut(rows.where("row_id is not null").select("row_id", tokens.alias("toks")).select("row_id", "toks", F.size("toks").alias("dl")))
     exploded = toks.select("row_id", "dl", F.explode_outer("toks").alias("term")).where("term is not null")
     counted = exploded.groupBy("term", "row_id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf")).withColumn("bucket", _bucket(F.col("term")))
     counted.repartitionByRange("bucket", "term", "row_id").sortWithinPartitions("bucket", "term", "row_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
