@@ -1,9 +1,10 @@
 """Groups of near-duplicate records: universal hash minima, banding, verification, large-star/small-star components.
 
 Elements of a record are word shingles of a text or canonical addresses of a list. 192 universal minima are cut
-into bands; records that share a band key meet in a bucket. Buckets of every size are searched in one way: sorted by
-further minima, each record is rated against the neighbours behind it, which is linear in the members and splits a hot
-bucket over tasks. Signatures decide clear cases (at least four standard deviations from the threshold), everything
+into bands; records that share a band key meet in a bucket. Buckets are sorted by further minima and each record is
+rated against the neighbours behind it, which is linear in the members and splits a hot bucket over tasks. In buckets
+that hold more records than neighbours, all pairs between parts that are not yet joined are rated afterwards, by pairs
+of blocks spread over tasks, so that every pair that shares a bucket is decided. Signatures decide clear cases (at least four standard deviations from the threshold), everything
 between is verified exactly on the elements. Records with equal elements are one node before any bucket is formed.
 """
 
@@ -27,9 +28,11 @@ RATED = 128
 SLACK = 0.18
 _A = odd_constants(HASHES, 11).astype(np.uint32)[:, None] | np.uint32(1)
 _B = odd_constants(HASHES, 13).view(np.uint32)[:HASHES][:, None]
-#: Rows of its bucket that a record is rated against: those behind it when the bucket is sorted by further minima. Buckets of one row more are so
-#: rated whole; in larger ones, which only records that share a common part fill, two like records meet as neighbours or in their other buckets.
+#: Rows of its bucket that a record is rated against at first: those behind it when the bucket is sorted by further minima. Buckets of one row more
+#: are so rated whole; in larger ones, what this does not join is rated by all pairs of blocks.
 NEIGHBOURS = 128
+#: Records of a block of a larger bucket, and those rated at once against another block.
+BLOCK, _AT_ONCE = 8192, 64
 
 
 def minima(elements: np.ndarray) -> np.ndarray:
@@ -178,12 +181,126 @@ def _rated(members: DataFrame, low: float, high: float) -> DataFrame:
     return first.where("a is not null").select("a", "b", "share").unionByName(rest.where("a is not null").select("a", "b", "share")).dropDuplicates(["a", "b"])
 
 
-def links(signed: DataFrame, exact: Callable[[DataFrame], DataFrame], threshold: float, costly: bool) -> DataFrame:
+class _Parts:
+    """Parts that records belong to, as far as a task knows; joined by the smaller name."""
+
+    def __init__(self, part: np.ndarray):
+        self.names, self.at = np.unique(part, return_inverse=True)
+        self.root = np.arange(len(self.names))
+
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        return self.root[self.at[rows]]
+
+    def join(self, i: int, j: int) -> bool:
+        """Whether the parts of two rows were apart; they no longer are."""
+        a, b = self.root[self.at[i]], self.root[self.at[j]]
+        if a == b:
+            return False
+        self.root[self.root == max(a, b)] = min(a, b)
+        return True
+
+
+def _equal_minima(sigs: np.ndarray, rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Numbers of equal minima of all rows with all others; ``sigs`` holds one row a minimum."""
+    total, same = np.zeros((len(rows), len(others)), np.uint8), np.empty((len(rows), len(others)), bool)
+    for s in sigs:
+        np.equal(s[rows, None], s[None, others], out=same)
+        total += same.view(np.uint8)
+    return total
+
+
+def _block_pairs(side: np.ndarray, parts: _Parts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows and those to rate them against: all pairs of one block or between two, but for those of one part."""
+    order = np.argsort(parts.at, kind="stable")
+    a = order if side.min() == side.max() else order[side[order] == side.min()]
+    b = order if side.min() == side.max() else order[side[order] != side.min()]
+    for k in range(0, len(a), _AT_ONCE):
+        rows = a[k : k + _AT_ONCE]
+        others = b[k + 1 :] if b is order else b
+        mine = parts.of(rows)
+        if mine.min() == mine.max():
+            others = others[parts.of(others) != mine[0]]
+        if len(others):
+            yield rows, others
+
+
+def _rate_block(low: float, high: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Sure pairs ``(a, b)`` between parts of the members of two blocks, and as ``(a, null)`` those members that are in a doubtful one."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        ids, parts = group["id"].to_numpy(), _Parts(group["part"].to_numpy())
+        sigs = np.ascontiguousarray(np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(-1, RATED).T)
+        out, open_ = [], np.zeros(len(ids), bool)
+        for rows, others in _block_pairs(group["side"].to_numpy(), parts):
+            total = _equal_minima(sigs, rows, others)
+            i, j = np.nonzero(total >= low * RATED)
+            share, i, j = total[i, j] / RATED, rows[i], others[j]
+            sure = (share >= high) & (parts.of(i) != parts.of(j))
+            out += [(ids[x], ids[y]) for x, y in zip(i[sure], j[sure]) if parts.join(x, y)]
+            left = (share < high) & (parts.of(i) != parts.of(j))
+            open_[i[left]] = open_[j[left]] = True
+        found = pd.DataFrame(out + [(x, None) for x in ids[open_]], columns=["a", "b"]).astype("Int64")
+        return found.assign(**{c: group[c].iloc[0] for c in ("key", "x", "y")})
+
+    return run
+
+
+def _verify_block(low: float, threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """True pairs ``(a, b)`` between parts of the members of two blocks, by their elements."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        ids, parts = group["id"].to_numpy(), _Parts(group["part"].to_numpy())
+        sigs = np.ascontiguousarray(np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(-1, RATED).T)
+        held = [np.frombuffer(e, np.uint64) for e in group["elements"]]
+        size = np.array([len(e) for e in held])
+        names, codes = np.unique(np.concatenate(held), return_inverse=True)
+        held = np.split(codes, np.cumsum(size)[:-1])
+        mark, out = np.zeros(len(names), bool), []
+        for rows, others in _block_pairs(group["side"].to_numpy(), parts):
+            total = _equal_minima(sigs, rows, others)
+            for k, i in enumerate(rows):
+                j = others[total[k] >= low * RATED]
+                j = j[(parts.of(j) != parts.of(i)) & (np.minimum(size[j], size[i]) >= threshold * np.maximum(size[j], size[i]))]
+                if not len(j):
+                    continue
+                mark[held[i]] = True
+                both = np.add.reduceat(mark[np.concatenate([held[x] for x in j])], np.cumsum(size[j]) - size[j], dtype=np.int64)
+                mark[held[i]] = False
+                out += [(ids[i], ids[x]) for x in j[both >= threshold * (size[i] + size[j] - both)] if parts.join(i, x)]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return run
+
+
+def _crowded(members: DataFrame, elements: Callable[[DataFrame], DataFrame], sure: DataFrame, low: float, high: float, threshold: float) -> DataFrame:
+    """True pairs ``(a, b)`` that join what ``sure`` pairs leave apart in buckets ``(key, n, id, node, sig)`` of more members than neighbours.
+
+    Members are dealt into blocks, every pair of blocks is one group, and a group holds at most about twice ``BLOCK``
+    records, whatever the size of a bucket. Elements go only to groups where signatures leave pairs doubtful, and no
+    doubtful pair is stored, so that what moves grows with the members and their blocks, not with the pairs.
+    """
+    parts = connected_components(sure, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("part"))
+    placed = cut(members.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id")))
+    apart = placed.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least != most").select("key")
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    sided = placed.join(apart, "key").withColumn("side", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = sided.select("key", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "id", "node", "part", "sig")
+    rated = cut(dealt.drop("node").groupBy("key", "x", "y").applyInPandas(_rate_block(low, high), "a bigint, b bigint, key bigint, x int, y int"))
+    found = rated.where("b is not null").select("a", "b")
+    open_ = rated.where("b is null").select("key", "x", "y", F.col("a").alias("id"))
+    if open_.isEmpty():
+        return found
+    doubtful = cut(dealt.join(open_, ["key", "x", "y", "id"]))
+    held = cut(elements(doubtful.select("node").distinct()))
+    return found.unionByName(doubtful.join(held, "node").groupBy("key", "x", "y").applyInPandas(_verify_block(low, threshold), "a bigint, b bigint"))
+
+
+def links(signed: DataFrame, exact: Callable[[DataFrame], DataFrame], elements: Callable[[DataFrame], DataFrame], threshold: float, costly: bool) -> DataFrame:
     """Links ``(src, dst)`` between nodes whose components are the groups of the signed records.
 
     ``exact`` gets doubtful pairs of contents ``(a, b, node_a, same_a, node_b, same_b)``, where a node is one that holds
     the content, and keeps ``(a, b)`` of the true links; where it is ``costly``, only pairs between components of sure
-    links are asked for. A node may come with several versions; it is then linked if any version is. Nodes without
+    links are asked for. ``elements`` gives ``(node, elements)``, 64-bit hashes as bytes, of all versions of the nodes asked for. A node may come with several versions; it is then linked if any version is. Nodes without
     elements are left out.
     """
     signed = cut(signed.where("node is not null and same is not null").dropDuplicates(["node", "same"]))
@@ -193,12 +310,15 @@ def links(signed: DataFrame, exact: Callable[[DataFrame], DataFrame], threshold:
     names = contents.select("id", "node", "same")
     equal = signed.select("node", "same").join(reps, "same").where("node != rep").select(F.col("node").alias("src"), F.col("rep").alias("dst"))
     members = contents.select("id", F.posexplode("keys").alias("band", "key"))
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = cut(members.join(sizes, "key"))
     # Within a bucket, records stand by two further minima, others in every band, so that like ones are neighbours.
     turn = F.expr(f"xxhash64(substring(sig, 1 + (band * 2) % {RATED - 1}, 2))")
     rated = cut(_rated(shared.join(contents.select("id", "sig"), "id").select("key", turn.alias("turn"), "id", "sig"), low, high))
     sure, open_ = rated.where(F.col("share") >= high).select("a", "b"), rated.where(F.col("share") < high).select("a", "b")
+    crowded = shared.where(F.col("n") > NEIGHBOURS + 1).select("key", "n", "id")
+    if not crowded.isEmpty():
+        sure = cut(sure.unionByName(_crowded(crowded.join(contents.select("id", "node", "sig"), "id"), elements, sure, low, high, threshold)).distinct())
     if costly:
         first = cut(connected_components(sure, "a", "b"))
         side = lambda c: first.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
@@ -236,7 +356,15 @@ def text_links(texts: DataFrame, width: int = 5, threshold: float = 0.5, rows: i
         x, y = held.select(F.col("node").alias("node_a"), F.col("text").alias("x")), held.select(F.col("node").alias("node_b"), F.col("text").alias("y"))
         return pairs.join(x, "node_a").join(y, "node_b").mapInPandas(same, "a bigint, b bigint").distinct()
 
-    return links(sign_texts(texts.select("node", "text"), width, rows, bands), exact, threshold, costly=True)
+    def elements(nodes: DataFrame) -> DataFrame:
+        def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                out = [(n, e.tobytes()) for n, t in zip(batch["node"], batch["text"]) if len(e := text_shingles(t, width))]
+                yield pd.DataFrame(out, columns=["node", "elements"])
+
+        return texts.join(nodes, "node", "left_semi").dropDuplicates(["node", "text"]).select("node", "text").mapInPandas(shingled, "node string, elements binary")
+
+    return links(sign_texts(texts.select("node", "text"), width, rows, bands), exact, elements, threshold, costly=True)
 
 
 def set_links(sets: DataFrame, threshold: float = 0.5, rows: int = 2, bands: int = 64, least: int = 3) -> DataFrame:
@@ -254,7 +382,14 @@ def set_links(sets: DataFrame, threshold: float = 0.5, rows: int = 2, bands: int
         both = F.size(F.array_intersect("x", "y"))
         return j.where(both >= threshold * (F.size("x") + F.size("y") - both)).select("a", "b")
 
-    return links(sign_sets(clean, rows, bands), exact, threshold, costly=False)
+    def elements(nodes: DataFrame) -> DataFrame:
+        def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield pd.DataFrame({"node": batch["node"], "elements": [np.asarray(h, np.int64).tobytes() for h in batch["hashes"]]})
+
+        return clean.join(nodes, "node", "left_semi").select("node", F.transform("items", lambda x: F.xxhash64(x)).alias("hashes")).mapInPandas(packed, "node string, elements binary")
+
+    return links(sign_sets(clean, rows, bands), exact, elements, threshold, costly=False)
 
 
 def canonical_url(url):

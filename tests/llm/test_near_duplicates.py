@@ -116,6 +116,30 @@ def test_crowded_bucket_of_unlike_records(spark):
     assert groups(N.text_links(spark.createDataFrame(rows, "node string, text string"))) == pairs
 
 
+@pytest.mark.parametrize("block", [8192, 70])
+def test_every_pair_of_a_crowded_bucket_is_decided(spark, monkeypatch, block):
+    """With a single band, pairs that share their bucket have no other one; in it, others with the same common part stand between them."""
+    monkeypatch.setattr(N, "NEIGHBOURS", 2)
+    monkeypatch.setattr(N, "BLOCK", block)
+    r = random.Random(8)
+    own = [f"propia{k}" for k in range(50_000)]
+    common = [r.choice(WORDS) for _ in range(60)]
+    rows = []
+    for k in range(200):
+        shared = [r.choice(own) for _ in range(16)]
+        rows += [(f"{side}{k:04d}", " ".join(common + shared + [r.choice(own) for _ in range(22)])) for side in "uv"]
+    key = {n: N.band_keys(N.minima(shingles(word_ids(t), 5)), 1, 1)[0] for n, t in rows}
+    want = {g for g in brute(rows) if len({key[n] for n in g}) == 1}
+    assert len(want) > 90 and groups(N.text_links(spark.createDataFrame(rows, "node string, text string"), rows=1, bands=1)) == want
+
+
+def test_crowded_lists(spark, monkeypatch):
+    """Lists whose common addresses fill buckets, with one more in common in pairs."""
+    monkeypatch.setattr(N, "NEIGHBOURS", 2)
+    rows = [(f"{side}{k:03d}", [f"c{i}" for i in range(6)] + [f"p{k}_{i}" for i in range(2)] + [f"{side}{k}_{i}" for i in range(4)]) for k in range(60) for side in "uv"]
+    assert groups(N.set_links(spark.createDataFrame(rows, "node string, items array<string>"))) == {frozenset([f"u{k:03d}", f"v{k:03d}"]) for k in range(60)}
+
+
 def test_one_bucket_of_fifty_thousand_is_linear(monkeypatch):
     """Every row of a bucket is rated against a fixed number of others, wherever batches end; copies are chained once."""
     rng = np.random.default_rng(6)
