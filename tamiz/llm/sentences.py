@@ -20,15 +20,19 @@ from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct counts that reach the driver: the most frequent ones of all documents.
-LIMIT = 200_000
+from tamiz.session import cut
+
+#: Distinct counts that a task holds before it passes them on.
+_HELD = 200_000
 
 _BLANK = re.compile(r"\n(?:[^\S\n]*\n)+")
-_MARK = re.compile(r"(?:[.]{3}|[.!?…。！？｡؟।॥۔]+)(?:[   ]?[»”\"'’)\]」』）］]+)*")
+# Begins with a set of characters, which the engine looks for at once; three points are a mark of their own.
+_MARK = re.compile(r"[.!?…。！？｡؟।॥۔](?:(?<=[.])[.]{2}|[.!?…。！？｡؟।॥۔]*)(?:[   ]?[»”\"'’)\]」』）］]+)*")
 _WIDE = "。！？｡।॥؟۔"
 _PAIRS = {"«": "»", "“": "”", "(": ")", "[": "]", "「": "」", "『": "』", "（": "）", "［": "］", "„": "“"}
 _CLOSE = {v: k for k, v in _PAIRS.items()}
@@ -39,6 +43,7 @@ _LABEL = re.compile(r"(?:#+\s*)?(?:[^\W\d_]+\.?[^\S\n]+)?(?:(?:\d{1,4}(?:\.\d{1,
 _CAPS = re.compile(r"(?:PARÁGRAFO|PARAGRAFO|ARTÍCULO|ARTICULO)(?:\s+(?:TRANSITORIO|ÚNICO|UNICO|\d+[ºo]?))*\.?-?$")
 _THAI_GAP = re.compile(r"(?<=[฀-๿])\s+(?=[฀-๿])")
 _DIGITS = re.compile(r"\d+")
+_SPACES = re.compile(r"\s*")
 _RIGHT = re.compile(r"\S{1,24}")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _CJK_RUN = re.compile(r"[぀-ヿ㐀-鿿]{4,}")
@@ -127,9 +132,9 @@ def _shape(left: str) -> str:
 
 def _slots(p: str) -> list[tuple[int, int, str, str, str, bool]]:
     """Marks of a paragraph that may end a unit: (end, next start, word, mark, next word, next begins with an opener)."""
-    out, spans, k = [], None, 0
+    out, spans, k, size = [], None, 0, len(p)
     for m in _MARK.finditer(p):
-        a, e = m.start(), m.end()
+        a, e = m.span()
         if spans is None:
             spans = shielded(p)
         while k < len(spans) and spans[k][1] < a:
@@ -151,11 +156,13 @@ def _slots(p: str) -> list[tuple[int, int, str, str, str, bool]]:
                 continue
             elif prev.islower() and a > 1 and not p[a - 2 : a - 1].isalpha():
                 continue
-        nxt = e + len(p[e:]) - len(p[e:].lstrip()) if after.isspace() else e
-        if nxt >= len(p):
+        nxt = _SPACES.match(p, e).end() if after else e
+        if nxt >= size:
             continue
         r, opened = _word_after(p, nxt)
-        mark = p[a] + (m.group().rstrip()[-1] if len(m.group()) > 1 and m.group().rstrip()[-1] not in ".!?…" else "")
+        mark = p[a]
+        if e > a + 1 and (last := p[e - 1]) not in ".!?…":
+            mark += last
         out.append((e, nxt, _word_before(p, a), mark, r, opened))
     return out
 
@@ -207,10 +214,39 @@ def _begin(token: str) -> str:
     return _word_after(token, 0)[0]
 
 
+class _Pairs:
+    """Counts of neighbouring words, as pairs of numbers."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = defaultdict(itertools.count().__next__)
+        self.held: list[np.ndarray] = []
+        self.size, self.total = 0, Counter()
+
+    def add(self, words: list[str]) -> None:
+        if len(words) > 1:
+            at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+            self.held.append(at[:-1] << 32 | at[1:])
+            self.size += len(words)
+            if self.size > 1 << 20:
+                self._fold()
+
+    def _fold(self) -> None:
+        if self.held:
+            found, n = np.unique(np.concatenate(self.held), return_counts=True)
+            self.total.update(dict(zip(found.tolist(), n.tolist())))
+            self.held, self.size = [], 0
+
+    def counts(self) -> Iterator[tuple[str, str, int]]:
+        self._fold()
+        words = list(self.number)
+        for pair, n in self.total.items():
+            yield words[pair >> 32], words[pair & 0xFFFFFFFF], n
+
+
 def counted(texts: Iterable[str]) -> Counter:
     """How often each (kind, word, mark, next word) occurs: ``e`` a paragraph's end, ``b`` its begin, ``m`` an open slot, ``n`` a gap without a mark, ``g`` one before a word that may begin a unit."""
     counts: Counter = Counter()
-    pairs: Counter = Counter()
+    pairs = _Pairs()
     runs: Counter = Counter()
     for text in texts:
         east = _eastern(text)
@@ -233,12 +269,11 @@ def counted(texts: Iterable[str]) -> Counter:
             for _, _, w, mark, r, _ in _slots(p):
                 counts["m", w, mark, r] += 1
             # Pairs of words are counted as they stand and looked into once each.
-            words = p.split()
-            pairs.update(zip(words, itertools.islice(words, 1, None)))
+            pairs.add(p.split())
             for m in _CJK_RUN.finditer(p) if east else ():
                 run = m.group()
                 runs.update([run[i : i + 4] for i in range(len(run) - 3)])
-    for (w, nxt), n in pairs.items():
+    for w, nxt, n in pairs.counts():
         if (letter := _ends_in_letter(w)) or w[-1] in ",;":
             r = _begin(nxt)
             counts["n", "", "", r] += n
@@ -278,6 +313,22 @@ class _Opens(dict):
         return value
 
 
+class _Seen(dict):
+    """Probabilities of slots by what they are made of."""
+
+    def __init__(self, model: Model):
+        self.model = model
+
+    def __missing__(self, slot: tuple[str, str, str, bool]) -> float:
+        if len(self) > 200_000:
+            self.clear()
+        self[slot] = value = self.model.boundary(*slot)
+        return value
+
+    def __reduce__(self):
+        return _Seen, (self.model,)
+
+
 class Model:
     """Hidden-event model from counts of ``training_rows``."""
 
@@ -333,6 +384,7 @@ class Model:
                     prior, weight = max(prior, 0.997), max(20.0, opened[k] + ends[k])  # however many texts are counted
                 self.after[k] = (yes[k] + ends[k] + weight * prior) / (opened[k] + ends[k] + weight)
             self._set(self._begin, self._inner + inner)
+        self.seen = _Seen(self)
 
     def _set(self, begin: Counter, inner: Counter) -> None:
         def dist(c: Counter) -> tuple[Counter, float, dict[str, float]]:
@@ -384,7 +436,7 @@ class Model:
 
     def posteriors(self, slots: list[tuple[int, int, str, str, str, bool]]) -> list[float]:
         """Forward-backward over the slots of a paragraph; boundaries a single word apart discourage each other."""
-        p = [self.boundary(w, m, r, o) for _, _, w, m, r, o in slots]
+        p = [self.seen[s[2:]] for s in slots]
         if len(p) < 2:
             return p
         tie = [0.1 if 0 <= y[0] - x[1] <= 3 else 1.0 for x, y in zip(slots, slots[1:])]
@@ -429,8 +481,8 @@ def _gaps(p: str, model: Model, east: bool) -> list[tuple[int, int, float]]:
     """``(end, next start, posterior)`` of the gaps of a paragraph without a mark where a unit may end."""
     tokens = p.split()
     out, likely = [], {}
-    for k, r in enumerate(map(model.opens.__getitem__, tokens)):
-        if r and k and _ends_in_letter(tokens[k - 1]) and (q := model.unmarked(_end(tokens[k - 1]), r)):
+    for k in itertools.compress(range(len(tokens)), map(model.opens.__getitem__, tokens)):
+        if k and _ends_in_letter(tokens[k - 1]) and (q := model.unmarked(_end(tokens[k - 1]), model.opens[tokens[k]])):
             likely[k] = q
     if likely:
         spans = [m.span() for m in _TOKEN.finditer(p)]
@@ -493,31 +545,37 @@ def _long(unit: str) -> bool:
     return len(unit.split()) >= _LEAST or len(_CJK.findall(unit)) > _LEAST
 
 
-def train(texts: DataFrame, limit: int = LIMIT) -> Model:
-    """Model of ``(text)``, counted over all rows; of the distinct counted rows, the ``limit`` most frequent reach the driver.
+def train(texts: DataFrame, limit: int | None = None) -> Model:
+    """Model of ``(text)``, counted over all rows; all counts reach the driver, or, if it is given, the ``limit`` most frequent.
 
-    Null texts count as empty.
+    Null texts count as empty. Pairs of words around a gap are kept one by one where a unit may begin with the second;
+    of all others the model uses only how often the first stands there, so they are summed for it.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
         for batch in batches:
             counts.update(counted(t for t in batch["text"] if t))
-            if len(counts) > limit:
+            if len(counts) > _HELD:
                 yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["kind", "w", "m", "r", "n"])
                 counts = Counter()
         yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["kind", "w", "m", "r", "n"])
 
     rows = texts.select("text").mapInPandas(run, "kind string, w string, m string, r string, n bigint")
-    total = rows.groupBy("kind", "w", "m", "r").agg(F.sum("n").alias("n"))
-    return Model([tuple(r) for r in total.orderBy(F.desc("n"), "kind", "w", "m", "r").limit(limit).collect()])
+    total = cut(rows.groupBy("kind", "w", "m", "r").agg(F.sum("n").alias("n")))
+    opening = total.where("kind = 'b' and n > 1").select(F.col("r").alias("opening"))
+    gaps = total.where("kind = 'g'").join(opening, F.col("r") == F.col("opening"), "left").groupBy("kind", "w", "m", F.col("opening").alias("r")).agg(F.sum("n").alias("n"))
+    used = total.where("kind != 'g'").unionByName(gaps)
+    if limit is not None:
+        used = used.orderBy(F.desc("n"), "kind", "w", "m", "r").limit(limit)
+    return Model(sorted((tuple(r) for r in used.collect()), key=lambda c: (-c[4], *c[:3], c[3] or "")))
 
 
 def sentences(texts: DataFrame, model: Model | None = None) -> DataFrame:
     """``(doc_id, inicio, fin)``: every unit of ``(doc_id, text)``, without surrounding whitespace.
 
     Null, empty and blank texts give no rows; repeated rows give repeated units; an empty table gives none. Texts are
-    split whole, where they lie; the model goes to the tasks with their code (its size is bound by the limit of counts).
+    split whole, where they lie; the model goes to the tasks with their code (its size grows with the distinct words and pairs of the texts).
     """
     texts = texts.select("doc_id", "text")
     if model is None:

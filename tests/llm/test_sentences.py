@@ -1,3 +1,5 @@
+import inspect
+
 import pytest
 
 from tamiz.llm import sentences as S
@@ -94,3 +96,14 @@ def test_statistics_of_all_documents(spark):
     names = [str(k).translate(str.maketrans("0123456789", "abcdefghij")) for k in range(3000)]
     assert all((f"abx{n}", ".") in model.after for n in names)
     assert len(S.train(rows, 10).after) <= 10
+
+
+def test_no_count_is_cut_off(spark, monkeypatch):
+    """The model of a table equals that of all its counts, however few a task holds."""
+    texts = [f"Palabra{k} larga dice que Norma{k % 7} vale. Según el art. {k} del texto{k} otra vez Norma{k % 7} rige siempre.\n\nNorma{k % 7} segunda aquí termina{k}." for k in range(60)]
+    monkeypatch.setattr(S, "_HELD", 20)
+    assert inspect.signature(S.train).parameters["limit"].default is None
+    got, want = S.train(spark.createDataFrame([(t,) for t in texts], "text string")), S.Model([(*k, n) for k, n in S.counted(texts).items()])
+    assert got.after == pytest.approx(want.after) and got.b == want.b and got.left == want.left and got.gaps == want.gaps
+    assert all(got.unmarked(w, r) == want.unmarked(w, r) for w, r in want.pair)
+    assert [S.split(t, got) for t in texts] == [S.split(t, want) for t in texts]
