@@ -11,15 +11,15 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Undamaged rows that train the emissions, taken by a hash of their id, and the length of the longest of them.
-TRAINING_ROWS, TRAINING_CHARS = 1000, 20_000
+#: Distinct words that a task holds before it counts their bigrams.
+_HELD = 200_000
 _ENTER, _LEAVE, _CHANGE = 6.6, 2.5, 11.0
 _CLEAN_FLOOR, _FLOOR = 1e-5, 1e-8
 _LOST = "�"
@@ -104,41 +104,61 @@ def _kind(c: str) -> str:
     return "h" if ord(c) > 127 else "l" if c.islower() else "u" if c.isupper() else "0" if c.isdigit() else " " if c.isspace() else "."
 
 
+_DAMAGES: list[Callable[[str], str]] = [lambda t: t, *(d for d, _ in STATES.values()), _lose]
+_USUAL = ("ÁÉÍÓÚÑÜ ", "áéíóúñü ", "¿¡ñ ")
+_WORD = re.compile(r"\S+\s*|\s+")
+
+
+def words(text: str) -> Counter:
+    """Words of a text with the space behind them, and a quarter as often in capitals, as a heading has them."""
+    return _with_capitals(Counter(_WORD.findall(text)))
+
+
+def _with_capitals(counts: Counter) -> Counter:
+    kinds = Counter(counts)
+    for word, n in counts.items():
+        kinds[word.upper()] += n / 4
+    return kinds
+
+
+def bigrams(kinds: Counter) -> Iterator[tuple[int, str, str, float]]:
+    """``(state, a, b, n)``: how often ``b`` follows ``a`` in the words as each state damages them; -1 for those that none does."""
+    counts: Counter = Counter()
+    for word, n in kinds.items():
+        for state in (-1,) if word.isascii() else range(len(_DAMAGES)):
+            try:
+                bad = word if state < 0 else _DAMAGES[state](word)
+            except UnicodeError:
+                continue
+            for a, b in zip(" " + bad, bad):
+                counts[state, a, b] += n
+    return ((*k, n) for k, n in counts.items())
+
+
 class Model:
     """Bigram emissions of all states, smoothed by the kind of the first character, as log-likelihoods against the clean state."""
 
-    def __init__(self, texts: list[str]):
-        sample = "\n".join(texts)
-        damages = [lambda t: t, *(d for d, _ in STATES.values()), _lose]
-        parts = re.split(r"(?<=\s)(?=\S)", sample)
-        kinds: Counter = Counter()
-        for word, n in Counter(parts).items():
-            kinds[word] += n
-            kinds[word.upper()] += n / 4  # a heading has it in capitals
-        kinds.update(("ÁÉÍÓÚÑÜ ", "áéíóúñü ", "¿¡ñ "))
-        self.first, self.pairs, self.kinds = [], [], []
-        for damage in damages:
+    def __init__(self, texts: list[str] | None = None, counts: Iterable[tuple[int, str, str, float]] = ()):
+        """Model of the bigrams of undamaged texts, or of ``counts`` of them as ``bigrams`` gives them."""
+        if texts is not None:
+            counts = bigrams(words("\n".join(texts)))
+        of = [Counter() for _ in _DAMAGES]
+        for part in (counts, bigrams(Counter(_USUAL))):
+            for state, a, b, n in part:
+                # Words that no damage changes count for every state.
+                for two in of if state < 0 else of[state : state + 1]:
+                    two[a, b] += n
+        self.first, self.pairs, self.kinds = [], of, []
+        for two in of:
             one: Counter = Counter()
-            two: Counter = Counter()
             kind: Counter = Counter()
-            for word, n in kinds.items():
-                if word.isascii() and damage is not damages[0]:
-                    bad = word
-                else:
-                    try:
-                        bad = damage(word)
-                    except UnicodeError:
-                        continue
-                for a, b in zip(" " + bad, bad):
-                    two[a, b] += n
-                    one[a] += n
             for (a, b), n in two.items():
+                one[a] += n
                 kind[_kind(a), b] += n
                 kind[_kind(a), ""] += n
                 kind["", b] += n
                 kind["", ""] += n
             self.first.append(one)
-            self.pairs.append(two)
             self.kinds.append(kind)
         self._cache: dict[tuple[str, str], np.ndarray] = {}
         self._evidence: dict[str, np.ndarray] = {}
@@ -295,12 +315,23 @@ def _inverse(part: str, name: str) -> str:
     return _HIGH.sub(run, part)
 
 
-def train(rows: DataFrame, limit: int = TRAINING_ROWS) -> Model:
-    """Model from the undamaged of at most ``limit`` rows of ``(id, text)`` of at most ``TRAINING_CHARS`` characters, taken by a hash of their id."""
-    rows = rows.where(F.length("text") <= TRAINING_CHARS)
-    ids = rows.select("id").orderBy(F.xxhash64("id"), "id").limit(limit)
-    sample = rows.join(F.broadcast(ids), "id", "left_semi").select("text").collect()
-    return Model([r.text for r in sample if r.text and not suspicious(r.text)])
+def train(rows: DataFrame) -> Model:
+    """Model of all undamaged rows of ``(text)``; their bigrams are counted where the rows lie, so that only bigrams reach the driver."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kinds: Counter = Counter()
+        columns = ["state", "a", "b", "n"]
+        for batch in batches:
+            for t in batch["text"]:
+                if t and not suspicious(t):
+                    kinds.update(_WORD.findall(t + "\n"))
+            if len(kinds) > _HELD:
+                yield pd.DataFrame(bigrams(_with_capitals(kinds)), columns=columns)
+                kinds = Counter()
+        yield pd.DataFrame(bigrams(_with_capitals(kinds)), columns=columns)
+
+    counts = rows.select("text").mapInPandas(run, "state int, a string, b string, n double").groupBy("state", "a", "b").agg(F.sum("n").alias("n"))
+    return Model(counts=sorted(tuple(r) for r in counts.collect()))
 
 
 def garbled(rows: DataFrame, model: Model | None = None) -> DataFrame:
@@ -312,7 +343,7 @@ def garbled(rows: DataFrame, model: Model | None = None) -> DataFrame:
     """
     rows = rows.select("texto_id", "markdown", "notas")
     if model is None:
-        model = train(rows.select(F.col("texto_id").alias("id"), F.col("markdown").alias("text")))
+        model = train(rows.select(F.col("markdown").alias("text")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

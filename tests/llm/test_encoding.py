@@ -71,3 +71,15 @@ def test_single_damaged_words(model):
                     fixed, states = E.restore(bad, model)
                     n, found, right = n + 1, found + bool(states), right + (fixed == text)
     assert n > 300 and found >= 0.9 * n and right >= 0.8 * n, (n, found, right)
+
+
+def test_all_rows_train(spark, monkeypatch):
+    """Texts of any length and number train the model, however few words a task holds."""
+    texts = [f"La acción número{k} según el artículo {k % 9}, está vigente.\nOtra línea" for k in range(1200)] + ["El pingüino común vuela así. " * 1000]
+    monkeypatch.setattr(E, "_HELD", 50, raising=False)
+    got = E.train(spark.createDataFrame([(k, t) for k, t in enumerate([*texts, None, ""])], "id bigint, text string"))
+    want = E.Model([*texts, ""])
+    assert got.first[0]["g"] > 1000 and [c.keys() for c in got.pairs] == [c.keys() for c in want.pairs]
+    assert E.train(spark.createDataFrame([], "id bigint, text string")).first[0] == E.Model([]).first[0]
+    for a, b in want.pairs[0]:
+        assert got.ratio(a, b) == pytest.approx(want.ratio(a, b))
