@@ -21,8 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words, lines and headers that reach the driver: the most frequent ones of all rows.
-LIMIT = 200_000
+#: Distinct counts that a task holds before it passes them on.
+_HELD = 200_000
 
 # fixed values: what a scan reads, and what stood there
 CONFUSIONS = [
@@ -436,47 +436,58 @@ def is_printed(metodo: Column, markdown: Column) -> Column:
 
 
 def counted(texts: Iterator[tuple[bool, str]]) -> Counter:
-    """How often words (``w``) and in how many texts lines (``l``) of parts not printed, and candidates for headers (``h``) of printed ones, occur."""
+    """How often words (``w``) and in how many texts lines (``l``) of parts not printed, and candidates for headers (``h``) and lines at the edges of pages (``e``) of printed ones, occur."""
     counts: Counter = Counter()
     tokens: Counter = Counter()
     lines: Counter = Counter()
+    ends: Counter = Counter()
     for printed, text in texts:
         if printed:
-            seen = set()
+            seen, edges = set(), set()
             for page in pages(text):
                 full = [i for i, x in enumerate(page) if x.strip()]
+                # ``strip_pages`` looks at two lines from the top and one from the bottom, behind up to three that it drops.
+                edges |= {page[i].strip() for i in {*full[:5], *full[-4:]}}
                 seen |= {key_of(page[i].strip()) for i in dict.fromkeys([*full[:2], *full[-2:]]) if _candidate(page, i, full)}
             counts.update(("h", k) for k in seen if k)
+            ends.update(x for x in edges if len(x) <= 70)
         else:
             tokens.update(text.split())
             lines.update({x for x in text.split("\n") if 0 < len(x) <= 70})
     for t, n in tokens.items():
         if (w := _bare(t)[1].lower()).isalpha() and not _GLYPHS.search(w):
             counts["w", w] += n
-    for x, n in lines.items():
-        if k := key_of(x):
-            counts["l", k] += n
+    for kind, found in (("l", lines), ("e", ends)):
+        for x, n in found.items():
+            if k := key_of(x):
+                counts[kind, k] += n
     return counts
 
 
-def train(rows: DataFrame, limit: int = LIMIT) -> Model:
-    """Model of ``(metodo, markdown)``, counted over all rows; of the counts, the ``limit`` greatest reach the driver."""
+def train(rows: DataFrame, limit: int | None = None) -> Model:
+    """Model of ``(metodo, markdown)``, counted over all rows; all counts that it uses reach the driver, or, if it is given, the ``limit`` greatest.
+
+    Of the lines of parts not printed, those count that stand at the edge of a page of ``rows``, as no others are asked for.
+    """
     texts = rows.where("markdown is not null").select(is_printed(F.col("metodo"), F.col("markdown")).alias("printed"), "markdown")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
         for batch in batches:
             counts.update(counted(zip(batch["printed"], batch["markdown"])))
-            if len(counts) > limit:
+            if len(counts) > _HELD:
                 yield pd.DataFrame([(kind, k, n) for (kind, k), n in counts.items()], columns=["kind", "k", "n"])
                 counts = Counter()
         yield pd.DataFrame([(kind, k, n) for (kind, k), n in counts.items()], columns=["kind", "k", "n"])
 
-    of = [F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0)).alias(kind) for kind in "wlh"]
+    of = [F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0)).alias(kind) for kind in "wlhe"]
     total = texts.mapInPandas(run, "kind string, k string, n bigint").groupBy("k").agg(*of)
     # Whether a line guards against a header is decided here, over all lines.
-    useful = total.where("w >= 3 or l > 0 or h >= 3").orderBy(F.greatest("w", "l", "h").desc(), "k").limit(limit).collect()
-    return Model({r.k: r.w for r in useful if r.w}, {r.k for r in useful if r.l}, {r.k: r.h for r in useful if r.h and not r.l})
+    useful = total.where("w >= 3 or (l > 0 and (e > 0 or h > 0)) or (h >= 3 and l = 0)")
+    if limit is not None:
+        useful = useful.orderBy(F.greatest("w", "l", "h").desc(), "k").limit(limit)
+    found = sorted(tuple(r) for r in useful.select("k", "w", "l", "h").collect())
+    return Model({k: w for k, w, _, _ in found if w}, {k for k, _, n, _ in found if n}, {k: h for k, _, n, h in found if h and not n})
 
 
 def repaired(rows: DataFrame, model: Model | None = None, paragraphs: bool = True) -> DataFrame:

@@ -99,3 +99,13 @@ def test_statistics_of_all_rows(spark):
     assert model.headers == sorted(f"GACETA {n.upper()}" for n in names[::2])
     few = S.train(clean.unionByName(printed), limit=10)
     assert len(few.words) + len(few.lines) + len(few.headers) <= 10 + len("aeouy")
+
+
+def test_no_word_is_cut_off(spark):
+    """Every word that stands three times is known; of the lines of other parts, those at the edges of printed pages guard."""
+    words = [f"palabra{k:06d}".translate(str.maketrans("0123456789", "bcdfghjklm")) for k in range(210_000)]
+    page = "<!-- pagina 1 -->\n1\nGaceta\n2\nTítulo suelto\nEl juez decide."
+    rows = [("html", " ".join(words))] * 3 + [("html", "TÍTULO SUELTO\nOtra línea\ntexto")] + [("pdf_ocr", page)] * 3
+    model = S.train(spark.createDataFrame(rows, "metodo string, markdown string"))
+    assert all(w in model.words for w in words)
+    assert model.lines == {"TITULO SUELTO"} and model.headers == ["GACETA"]
