@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tamiz.functions import citations as C
 from tamiz.functions import text as T
-from tamiz.operators import answers, batches, dense, fusion, identity, lexical, measures, paragraphs, segments, selection
+from tamiz.operators import answers, batches, components, dense, fusion, identity, lexical, measures, paragraphs, segments, selection
 from tamiz.operators.components import connected_components
 
 
@@ -41,6 +41,30 @@ def test_components(spark, edges):
     assert {r.node: r.component for r in connected_components(df).collect()} == brute_components(edges)
 
 
+@pytest.mark.parametrize("at_once", [1, 7, 500_000])
+def test_components_joined_in_one_task_and_in_rounds(spark, monkeypatch, at_once):
+    """Rounds of many edges and the one task of few give the same, for numbers and names, wherever edges lie and tasks begin anew."""
+    monkeypatch.setattr(components, "AT_ONCE", at_once)
+    r = random.Random(5)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(400, 460)] + [(900, 900), (460, 460)]
+    df = spark.createDataFrame(edges, "src bigint, dst bigint").repartition(5)
+    assert sorted(connected_components(df).collect()) == sorted(brute_components(edges).items())
+    names = [(f"ñ{a}" if a % 2 else f"\U00010000{a}", f"ñ{b}" if b % 2 else f"\uffee{b}") for a, b in edges]
+    df = spark.createDataFrame(names, "src string, dst string").repartition(5)
+    assert sorted(connected_components(df).collect()) == sorted(brute_components(names).items())
+
+
+def test_components_of_few_edges_take_few_jobs(spark):
+    """Jobs and their plans stay in the driver's memory: a chain is joined in one task, not in rounds of ten jobs."""
+    df = spark.createDataFrame([(k, k + 1) for k in range(500)], "src bigint, dst bigint")
+    spark.sparkContext.setJobGroup("few-edges", "components")
+    try:
+        assert {r.component for r in connected_components(df).collect()} == {0}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-edges")) <= 8
+
+
 def test_components_of_nothing(spark):
     df = spark.createDataFrame([(None, 1), (2, None)], "src bigint, dst bigint")
     assert connected_components(df).count() == 0
