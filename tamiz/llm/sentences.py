@@ -22,6 +22,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,22 +31,29 @@ from tamiz.session import cut
 
 #: Distinct counts that a task holds before it passes them on.
 _HELD = 200_000
+#: Characters of paragraphs whose words are counted at once.
+_BLOCK = 1 << 22
 
 _BLANK = re.compile(r"\n(?:[^\S\n]*\n)+")
 # Begins with a set of characters, which the engine looks for at once; three points are a mark of their own.
-_MARK = re.compile(r"[.!?…。！？｡؟।॥۔](?:(?<=[.])[.]{2}|[.!?…。！？｡؟।॥۔]*)(?:[   ]?[»”\"'’)\]」』）］]+)*")
+# What may belong to a mark is not looked for where a letter or figure follows.
+_MARK = re.compile(r"[.!?…。！？｡؟।॥۔](?:(?![ ]?[A-Za-z0-9])(?:(?<=[.])[.]{2}|[.!?…。！？｡؟।॥۔]*)(?:[   ]?[»”\"'’)\]」』）］]+)*)?")
+# A mark, the space behind it and the next word.
+_SLOT = re.compile(_MARK.pattern + r"(?=(\s*)(\S{0,24}))")
 _WIDE = "。！？｡।॥؟۔"
 _PAIRS = {"«": "»", "“": "”", "(": ")", "[": "]", "「": "」", "『": "』", "（": "）", "［": "］", "„": "“"}
 _CLOSE = {v: k for k, v in _PAIRS.items()}
 _QUOTES = re.compile("[" + re.escape("".join({*_PAIRS, *_CLOSE}) + '"—') + "]")
+_SHIELDS = '("—«“[„「『（［'  # without one of these nothing is shielded
 _OPENERS = "«“„\"'‘([「『（［¿¡—–"
 _ITEM = re.compile(r"\n[^\S\n]*(?=((?:\d{1,3}(?:\.\d{1,3})*[.)]|\d{1,3}(?:\.\d{1,3})+|[a-zñ][.)]|[ivxl]{1,5}[.)]|\(\w{1,3}\)|[-•*·–])[^\S\n]+\S))")
 _LABEL = re.compile(r"(?:#+\s*)?(?:[^\W\d_]+\.?[^\S\n]+)?(?:(?:\d{1,4}(?:\.\d{1,3})*|[IVXLC]+|[ivxl]{1,5}|[a-zA-ZñÑ])(?:[º°ªo]|er)?[.)]?[ºª]?(?:[.)\-–:]+)|§\s*\d+[.)]*)$")
 _CAPS = re.compile(r"(?:PARÁGRAFO|PARAGRAFO|ARTÍCULO|ARTICULO)(?:\s+(?:TRANSITORIO|ÚNICO|UNICO|\d+[ºo]?))*\.?-?$")
 _THAI_GAP = re.compile(r"(?<=[฀-๿])\s+(?=[฀-๿])")
 _DIGITS = re.compile(r"\d+")
-_SPACES = re.compile(r"\s*")
 _RIGHT = re.compile(r"\S{1,24}")
+# A word behind a space and a letter or another space; no small letter or figure, as these never begin a unit without a mark.
+_GAP = re.compile("[^a-zß-öø-ÿа-яё0-9\\s](?:(?<=[\\w\u0900-\u0963]\\s.)|(?<=\\s\\s.))\\S{0,23}")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _CJK_RUN = re.compile(r"[぀-ヿ㐀-鿿]{4,}")
 #: Share of the gaps before such words where a final mark is missing, before any evidence; a unit has three words and more there.
@@ -53,6 +62,8 @@ MISSING, _LEAST = 0.001, 3
 
 def shielded(p: str) -> list[tuple[int, int]]:
     """Outermost quotations, brackets and dash insertions of a paragraph; marks that never close shield nothing."""
+    if not any(map(p.__contains__, _SHIELDS)):
+        return []
     stack: list[tuple[str, int]] = []
     spans: list[tuple[int, int]] = []
     straight = dash = -1
@@ -132,8 +143,8 @@ def _shape(left: str) -> str:
 
 def _slots(p: str) -> list[tuple[int, int, str, str, str, bool]]:
     """Marks of a paragraph that may end a unit: (end, next start, word, mark, next word, next begins with an opener)."""
-    out, spans, k, size = [], None, 0, len(p)
-    for m in _MARK.finditer(p):
+    out, spans, k = [], None, 0
+    for m in _SLOT.finditer(p):
         a, e = m.span()
         if spans is None:
             spans = shielded(p)
@@ -143,9 +154,12 @@ def _slots(p: str) -> list[tuple[int, int, str, str, str, bool]]:
             close = spans[k][1]
             if e <= close:
                 continue
-        after = p[e : e + 1]
-        if after and not after.isspace():
+        space, behind = m.groups()
+        if not behind:
+            continue
+        if not space:
             # The space is missing, or the mark is part of a word or figure.
+            after = behind[0]
             prev = p[a - 1 : a]
             mark = p[a]
             if mark in _WIDE:
@@ -156,14 +170,11 @@ def _slots(p: str) -> list[tuple[int, int, str, str, str, bool]]:
                 continue
             elif prev.islower() and a > 1 and not p[a - 2 : a - 1].isalpha():
                 continue
-        nxt = _SPACES.match(p, e).end() if after else e
-        if nxt >= size:
-            continue
-        r, opened = _word_after(p, nxt)
+        r, opened = _right(behind)
         mark = p[a]
         if e > a + 1 and (last := p[e - 1]) not in ".!?…":
             mark += last
-        out.append((e, nxt, _word_before(p, a), mark, r, opened))
+        out.append((e, e + len(space), _word_before(p, a), mark, r, opened))
     return out
 
 
@@ -214,39 +225,32 @@ def _begin(token: str) -> str:
     return _word_after(token, 0)[0]
 
 
-class _Pairs:
-    """Counts of neighbouring words, as pairs of numbers."""
-
-    def __init__(self) -> None:
-        self.number: dict[str, int] = defaultdict(itertools.count().__next__)
-        self.held: list[np.ndarray] = []
-        self.size, self.total = 0, Counter()
-
-    def add(self, words: list[str]) -> None:
-        if len(words) > 1:
-            at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-            self.held.append(at[:-1] << 32 | at[1:])
-            self.size += len(words)
-            if self.size > 1 << 20:
-                self._fold()
-
-    def _fold(self) -> None:
-        if self.held:
-            found, n = np.unique(np.concatenate(self.held), return_counts=True)
-            self.total.update(dict(zip(found.tolist(), n.tolist())))
-            self.held, self.size = [], 0
-
-    def counts(self) -> Iterator[tuple[str, str, int]]:
-        self._fold()
-        words = list(self.number)
-        for pair, n in self.total.items():
-            yield words[pair >> 32], words[pair & 0xFFFFFFFF], n
+def _count_gaps(block: list[str], counts: Counter) -> None:
+    """Count the gaps without a mark of paragraphs that neither are empty nor begin or end with a space; their words are split and compared in Arrow."""
+    split = pc.utf8_split_whitespace(pa.array(block, pa.large_string()))  # what a space is to Python, is one to Arrow
+    coded = split.values.dictionary_encode()
+    words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    within = np.ones(len(at) - 1, bool)
+    within[split.offsets.to_numpy()[1:-1] - 1] = False
+    first, second = at[:-1][within], at[1:][within]
+    letter = np.fromiter(map(_ends_in_letter, words), bool, len(words))
+    unmarked = letter | np.fromiter((w[-1] in ",;" for w in words), bool, len(words))
+    begins = [_begin(w) for w in words]
+    large = np.fromiter((not r[:1].islower() and not r[:1].isdigit() for r in begins), bool, len(words))
+    for r, n in zip(begins, np.bincount(second[unmarked[first]], minlength=len(words)).tolist()):
+        if n:
+            counts["n", "", "", r] += n
+    both = letter[first] & large[second]
+    pairs, times = np.unique(first[both].astype(np.int64) << 32 | second[both], return_counts=True)
+    for pair, n in zip(pairs.tolist(), times.tolist()):
+        counts["g", _end(words[pair >> 32]), "", begins[pair & 0xFFFFFFFF]] += n
 
 
 def counted(texts: Iterable[str]) -> Counter:
     """How often each (kind, word, mark, next word) occurs: ``e`` a paragraph's end, ``b`` its begin, ``m`` an open slot, ``n`` a gap without a mark, ``g`` one before a word that may begin a unit."""
     counts: Counter = Counter()
-    pairs = _Pairs()
+    block: list[str] = []
+    size = 0
     runs: Counter = Counter()
     for text in texts:
         east = _eastern(text)
@@ -268,17 +272,17 @@ def counted(texts: Iterable[str]) -> Counter:
                 counts["e", _word_before(p, a), p[a] + (last if last not in ".!?…" and len(m.group()) > 1 else ""), ""] += 1
             for _, _, w, mark, r, _ in _slots(p):
                 counts["m", w, mark, r] += 1
-            # Pairs of words are counted as they stand and looked into once each.
-            pairs.add(p.split())
+            # Words are counted as they stand and looked into once each.
+            block.append(p)
+            size += len(p)
+            if size > _BLOCK:
+                _count_gaps(block, counts)
+                block, size = [], 0
             for m in _CJK_RUN.finditer(p) if east else ():
                 run = m.group()
                 runs.update([run[i : i + 4] for i in range(len(run) - 3)])
-    for w, nxt, n in pairs.counts():
-        if (letter := _ends_in_letter(w)) or w[-1] in ",;":
-            r = _begin(nxt)
-            counts["n", "", "", r] += n
-            if letter and not r[:1].islower() and not r[:1].isdigit():
-                counts["g", _end(w), "", r] += n
+    if block:
+        _count_gaps(block, counts)
     for four, n in runs.items():
         counts["g", four[:2], "", four[2:]] += n
     return counts
@@ -464,7 +468,6 @@ def _ends_in_letter(token: str) -> bool:
     return token[-1].isalnum() or "\u0900" <= token[-1] <= "\u0963"
 
 
-_TOKEN = re.compile(r"\S+")
 _EAST = re.compile("[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff]")
 
 
@@ -479,14 +482,15 @@ def _eastern(text: str) -> bool:
 
 def _gaps(p: str, model: Model, east: bool) -> list[tuple[int, int, float]]:
     """``(end, next start, posterior)`` of the gaps of a paragraph without a mark where a unit may end."""
-    tokens = p.split()
-    out, likely = [], {}
-    for k in itertools.compress(range(len(tokens)), map(model.opens.__getitem__, tokens)):
-        if k and _ends_in_letter(tokens[k - 1]) and (q := model.unmarked(_end(tokens[k - 1]), model.opens[tokens[k]])):
-            likely[k] = q
-    if likely:
-        spans = [m.span() for m in _TOKEN.finditer(p)]
-        out = [(spans[k - 1][1], spans[k][0], q) for k, q in likely.items()]
+    out = []
+    for m in _GAP.finditer(p):
+        if r := model.opens[m.group()]:
+            b = m.start()
+            a = b - 1
+            while a and p[a - 1].isspace():
+                a -= 1
+            if a and _ends_in_letter(p[a - 1]) and (q := model.unmarked(_word_before(p, a), r)):
+                out.append((a, b, q))
     for m in _CJK_RUN.finditer(p) if east else ():
         run, at = m.group(), m.start()
         for i in range(4, len(run) - 3):
@@ -526,7 +530,8 @@ def split(text: str | None, model: Model, threshold: float = 0.5) -> list[tuple[
             if e <= start:
                 continue
             unit = p[start:e].strip()
-            if not sure and (_LABEL.fullmatch(unit) or _CAPS.fullmatch(unit)):
+            # A label has four words at most.
+            if not sure and (len(unit.split(None, 4)) < 5 and _LABEL.fullmatch(unit) or unit.startswith(("PAR", "ART")) and _CAPS.fullmatch(unit)):
                 continue
             if unit:
                 out.append((base + start, base + e))
@@ -534,6 +539,9 @@ def split(text: str | None, model: Model, threshold: float = 0.5) -> list[tuple[
         out.append((base + start, base + len(p)))
     trimmed = []
     for a, b in out:
+        if not (text[a].isspace() or text[b - 1].isspace()):
+            trimmed.append((a, b))
+            continue
         s = text[a:b]
         lead = len(s) - len(s.lstrip())
         if lead < len(s):
@@ -583,7 +591,8 @@ def sentences(texts: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(d, a, b) for d, t in zip(batch["doc_id"], batch["text"]) for a, b in split(t, model)]
-            yield pd.DataFrame(rows, columns=["doc_id", "inicio", "fin"])
+            found = [split(t, model) for t in batch["text"]]
+            ends = np.fromiter(itertools.chain.from_iterable(itertools.chain.from_iterable(found)), np.int32).reshape(-1, 2)
+            yield pd.DataFrame({"doc_id": np.repeat(batch["doc_id"].to_numpy(np.int64), [len(u) for u in found]), "inicio": ends[:, 0], "fin": ends[:, 1]})
 
     return texts.where("doc_id is not null and text is not null").mapInPandas(run, "doc_id bigint, inicio int, fin int")

@@ -107,3 +107,60 @@ def test_no_count_is_cut_off(spark, monkeypatch):
     assert got.after == pytest.approx(want.after) and got.b == want.b and got.left == want.left and got.gaps == want.gaps
     assert all(got.unmarked(w, r) == want.unmarked(w, r) for w, r in want.pair)
     assert [S.split(t, got) for t in texts] == [S.split(t, want) for t in texts]
+
+
+ODD = [
+    "El juez Pérez dijo que La Sala\n callará  y  Que\tÉl, Molinos;\xa0Vela Ruiz y\x1fLuz firman ÷ Ángel\x85Ñandú _Uno 5Dos ( Tres ¿Cuatro «Cinco» ﬁn Ǆora ǅora.",
+    " Antes de La Sala del Norte Que rige desde el Año que El juez fijó, en Villa Sol y Luz, sin Norma Que lo Diga .. ... Fin\n\nOtro párrafo sin marca Que termina en La Sala",
+    "किरायेदार अपील प्रस्तुत करेगा न्यायालय पट्टा अस्वीकार करेगा  और वादी रु. 114.50 देगा। المحكمة قررت المدعي حضر؟ Суд Решил Что Иск принят и Дело закрыто.",
+]
+
+
+def _may_begin(r):
+    return not r[:1].islower() and not r[:1].isdigit()
+
+
+def test_gaps_are_counted_by_block(monkeypatch):
+    """Counts of gaps in blocks of paragraphs equal those of one word after the other."""
+    from collections import Counter
+
+    want, texts = Counter(), ODD * 3 + BASE[:6]
+    for t in texts:
+        for _, p in S.paragraphs(t):
+            words = p.split()
+            if len(p.strip()) < 60 and not S._MARK.search(p.strip()[-3:]):
+                continue
+            for w, nxt in zip(words, words[1:]):
+                letter, r = S._ends_in_letter(w), S._word_after(nxt, 0)[0]
+                if letter or w[-1] in ",;":
+                    want["n", "", "", r] += 1
+                if letter and _may_begin(r):
+                    want["g", S._word_before(w, len(w)), "", r] += 1
+    for size in (0, 150, 1 << 22):
+        monkeypatch.setattr(S, "_BLOCK", size)
+        got = S.counted(texts)
+        assert {k: n for k, n in got.items() if k[0] == "n" or k[0] == "g" and not S._CJK.search(k[1])} == want
+
+
+def test_few_words_are_looked_up():
+    """Only words that may begin a unit are looked up, and all gaps before them are found."""
+    looked = []
+
+    class Opens(dict):
+        def __missing__(self, token):
+            looked.append(token)
+            return S._right(token[:24])[0] if _may_begin(S._right(token[:24])[0]) else ""
+
+    class Stub:
+        opens, opening = Opens(), set()
+
+        @staticmethod
+        def unmarked(w, r):
+            return 0.75
+
+    p = "la parte pedirá " * 400 + "en el archivo La sala"
+    assert [p[a:b + 2] for a, b, _ in S._gaps(p, Stub, False)] == [" La"] and len(looked) <= 5
+    for p in ODD:
+        words = list(S.re.finditer(r"\S+", p))
+        want = [(x.end(), y.start(), 0.75) for x, y in zip(words, words[1:]) if S._ends_in_letter(x.group()) and (r := S._right(y.group()[:24])[0]) and _may_begin(r)]
+        assert S._gaps(p, Stub, False) == want
